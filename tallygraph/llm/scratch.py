@@ -7,6 +7,7 @@ The folder is the session's ``spark.checkpoint.dir``; where it is unset (tests o
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def stage(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of steps whose results are staged; their plans are garbage by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cleanup() -> None:
     """Delete every table that this process has staged. Results that still read them must be written before."""
     while _written:
