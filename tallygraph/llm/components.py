@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.llm import scratch
+from tallygraph.llm.ship import ship
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +63,7 @@ def _larger_first(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every node but each component's smallest, and that smallest node. ``links`` has the long columns u and v."""
+    ship(links.sparkSession)
     links = links.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     edges = scratch.stage(_larger_first(links.mapInArrow(_forests, "u long, v long")), "forest")
     while True:

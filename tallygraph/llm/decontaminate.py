@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.llm import kernel
+from tallygraph.llm.ship import ship
 
 BITS, MOST_REPEATS, RUN = 2, 64, 3
 BLOCK_WORDS = 400_000
@@ -301,6 +302,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, seed: int = 23) -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, distance (words), n_words (of the item), start (first word of the window)."""
     spark = docs.sparkSession
+    ship(spark)
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, distance long, n_words long, start long"
     item_type = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallygraph.llm import scratch
 from tallygraph.llm.components import components, forest
+from tallygraph.llm.ship import ship
 
 TILE = 1024
 STRIP_BYTES = 32 << 20
@@ -177,6 +178,7 @@ def _found(classes: DataFrame, d: int, least: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
+    ship(vectors.sparkSession)
     x = F.col("embedding").cast("array<double>")
     rows = scratch.stage(vectors.select("vec_id", x.alias("x")), "vectors")
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))

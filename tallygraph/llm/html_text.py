@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallygraph.llm.ship import ship
+
 # Element names as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math head title object canvas audio video textarea select".split())
@@ -422,6 +424,7 @@ def extract(sources: list[str | None], model: Model) -> list[str]:
 
 def main_text(pages: DataFrame, model: Model | None = None, batch_bytes: int = 1 << 22) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or train())  # some thousand numbers
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tallygraph.llm import kernel, scratch
 from tallygraph.llm.components import components
+from tallygraph.llm.ship import ship
 
 SKETCH, CHUNKS = 1 << 20, 64
 ORDERS = 3
@@ -265,6 +266,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
     level = spark.sparkContext.broadcast(levels(docs, size))  # SKETCH bytes
     made = scratch.stage(prefixes(docs, level, size, percent), "prefixes")

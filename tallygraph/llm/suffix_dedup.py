@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.llm import kernel, scratch
+from tallygraph.llm.ship import ship
 
 #: Anchors a bucket, anchors and contexts that a task holds before it packs them, contexts a bucket of step 3.
 BUCKET, FLUSH, CONTEXTS_FLUSH, CONTEXTS = 1_200_000, 1 << 19, 1 << 16, 16_000
@@ -465,6 +466,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cover(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, row, first, last): the covered spans of each row of ``docs`` (doc_id, row, text) that has any, as packed numbers."""
     spark, shape = docs.sparkSession, Shape(window)
+    ship(spark)
     known = docs.where("doc_id is not null")
     volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygraph.llm.ship import ship
+
 TABLE, CACHE, SAMPLE_ROWS = 32_768, 400_000, 2_000
 #: Pre-tokens longer than this are encoded and not kept.
 KEEP_CHARS = 64
@@ -93,6 +95,7 @@ def frequent(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, size:
 
 def count_tokens(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit."""
+    ship(docs.sparkSession)
     model = vocabulary(vocabulary_name)
     context = docs.sparkSession.sparkContext
     table = context.broadcast(frequent(docs.select("doc_id", "text"), model))  # TABLE short strings at most
