@@ -1,20 +1,22 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text.
 
 Two dictionaries are trained, one on text labelled good and one on text labelled bad. A text is compressed with each; the
-difference of the sizes over their sum says which of the two it resembles. The difference, and the difference weighted by the
-logarithm of the length, become a probability by logistic regression on labelled documents that no dictionary has seen.
+difference of the sizes over their sum says which of the two it resembles, and their mean over the length how much the text repeats
+itself. These two, the latter's square, and their products with the logarithm of the length become a probability by logistic
+regression on labelled documents that no dictionary has seen.
 
 Fitting takes a bounded sample of the labelled training rows: the ``PER_CLASS`` documents of each label with the smallest hash
 of their doc_id, half of them for the dictionaries and half for the calibration. Labels, lang, source and doc_id are no inputs of
 a score. The held-out fold (crc32 of doc_id as text, mod 3, equal to 1) is never learned from. Whole texts are scored.
 
-Defined results: a null or empty text scores as the calibration has it for no evidence, always the same. When one class has no
+Defined results: a null or empty text scores as the calibration has it for length 0, always the same. When one class has no
 training document the score is the share of the other; without any labels it is 0.5. A doc_id with labels of both kinds is learned
 from as both. A null doc_id is not held out. Equal rows score alike; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygraph.llm.ship import ship
+
 PER_CLASS = 1500
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 #: Training reads so much of one document, so that no document rules a dictionary. Scores read whole texts.
 TRAIN_BYTES = 20_000
+FEATURES = 6
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,13 +58,13 @@ class Model:
     def scorer(self):
         """A function from bytes to the features of the regression."""
         if not self.good or not self.bad:
-            return lambda text: np.zeros(2)
+            return lambda text: np.zeros(FEATURES)
         packs = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=LEVEL, write_content_size=False, write_checksum=False) for d in (self.good, self.bad)]
 
         def features(text: bytes) -> np.ndarray:
             g, b = (len(p.compress(text)) for p in packs)
-            x = (b - g) / (b + g) if text else 0.0
-            return np.array((x, x * np.log1p(len(text))))
+            x, c, n = (b - g) / (b + g), math.log((g + b) / 2 / (len(text) + 1)), math.log1p(len(text))
+            return np.array((x, x * n, c, c * c, c * n, n))
 
         return features
 
@@ -95,14 +100,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows = rows.sort_values(["doc_id", "quality"])
     texts, marks = [t.encode() for t in rows.text], rows.quality.to_numpy(float)
     if not len(rows):
-        return Model(b"", b"", (0.0, 0.0, 0.0))
+        return Model(b"", b"", (0.0,) * (FEATURES + 1))
     if marks.min() == marks.max():
-        return Model(b"", b"", (30.0 if marks[0] else -30.0, 0.0, 0.0))
+        return Model(b"", b"", (30.0 if marks[0] else -30.0, *(0.0,) * FEATURES))
     half = np.zeros(len(rows), bool)
     for label in (0.0, 1.0):
         at = np.flatnonzero(marks == label)
         half[at[:: 2] if len(at) > 1 else at] = True
-    made = Model(_dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and m]), _dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and not m]), (0.0, 1.0, 0.0))
+    made = Model(_dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and m]), _dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and not m]), ())
     rest = ~half if len(set(marks[~half])) == 2 else half | True
     features = made.scorer()
     x = np.array([features(t) for t, r in zip(texts, rest, strict=True) if r])
@@ -111,13 +116,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` and the column ``name``: the probability that the label is 1."""
+    ship(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: a fixed size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = shared.value.scorer()
         for batch in batches:
-            x = np.array([features((t or "").encode()) for t in batch.column(text).to_pylist()]).reshape(-1, 2)
+            x = np.array([features((t or "").encode()) for t in batch.column(text).to_pylist()]).reshape(-1, FEATURES)
             arrays = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(shared.value.probability(x))], [*(f.name for f in kept), name])
 
