@@ -77,12 +77,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0,
     aims = aims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     aims = scratch.stage(aims.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "targets")
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = sums.withColumn("end", F.sum("words").over(upto)).join(aims.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    # The slice in which the rest runs out; those before it are taken whole, those after it not at all.
-    edge = edges.where("end > rest").groupBy("source").agg(F.min("slice").alias("edge"), F.min_by(F.col("end") - F.col("words"), "slice").alias("before"))
-    plan = aims.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    outside = rows.where("edge is null or slice <> edge").withColumn("once", F.when(F.col("edge").isNull() | (F.col("slice") < F.col("edge")), F.col("size")).otherwise(F.lit(0)))
-    inner = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.where("slice = edge").withColumn("once", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
+    plan = sums.withColumn("end", F.sum("words").over(upto)).join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # A slice is taken whole, or not at all, or it is the one in which the rest runs out. Documents meet their plan by (source, slice): a source with
+    # a third of all rows is spread over all its slices.
+    plan = plan.withColumn("before", F.col("end") - F.col("words")).withColumnsRenamed({"source": "s", "slice": "at"})
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at")))
+    edge = (F.col("before") < F.col("rest")) & (F.col("end") > F.col("rest"))
+    outside = rows.where(~edge).withColumn("once", F.when(F.col("end") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
+    inner = Window.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.where(edge).withColumn("once", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
     return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("once")).cast("long").alias("taken"))
