@@ -85,8 +85,8 @@ def _tiles(d: int):
 
         def tile(rows: pa.Table) -> pa.RecordBatch:
             values = np.ascontiguousarray(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-            ids, many = (rows.column(c).to_numpy() for c in ("rep", "many"))
-            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["strip", "ids", "many", "x"])
+            blobs = [pa.array([rows.column(c).to_numpy().tobytes()], pa.binary()) for c in ("rep", "name", "many")]
+            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *blobs, pa.array([values.tobytes()], pa.binary())], ["strip", "ids", "names", "many", "x"])
 
         for batch in batches:
             held.append(batch)
@@ -108,14 +108,14 @@ def _meet(d: int, axes, least: float):
         first, second = key[0].as_py(), key[1].as_py()
         tiles: dict[int, list] = {first: [], second: []}
         for batch in batches:
-            for s, i, m, x in zip(*(batch.column(c).to_pylist() for c in ("strip", "ids", "many", "x")), strict=True):
+            for s, i, name, m, x in zip(*(batch.column(c).to_pylist() for c in ("strip", "ids", "names", "many", "x")), strict=True):
                 unit = _unit(np.frombuffer(x).reshape(-1, d))
-                tiles[s].append((np.frombuffer(i, np.int64), np.frombuffer(m, np.int64), unit, unit @ axes.value))
+                tiles[s].append((np.frombuffer(i, np.int64), np.frombuffer(m, np.int64), unit, unit @ axes.value, np.frombuffer(name, np.int64)))
         reach = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
         total = {s: [np.zeros(len(t[0]), np.int64) for t in tiles[s]] for s in tiles}
         us, vs, pending = [], [], 0
-        for p, (ia, ma, xa, ra) in enumerate(tiles[first]):
-            for q, (ib, mb, xb, rb) in enumerate(tiles[second]):
+        for p, (ia, ma, xa, ra, _) in enumerate(tiles[first]):
+            for q, (ib, mb, xb, rb, _) in enumerate(tiles[second]):
                 if first == second and q < p or ra[:, 0].min() - rb[:, 0].max() > reach or rb[:, 0].min() - ra[:, 0].max() > reach:
                     continue
                 i, j = linked(xa, xb, ra, rb, least)
@@ -133,18 +133,19 @@ def _meet(d: int, axes, least: float):
                     u, v = forest(np.concatenate(us), np.concatenate(vs))
                     us, vs, pending = [u], [v], 0
         for s in tiles:
-            for (ids, *_), n in zip(tiles[s], total[s], strict=True):
-                if (n > 0).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0]), pa.nulls(int((n > 0).sum()), pa.int64())], ["u", "n", "v"])
+            for (ids, *_, names), n in zip(tiles[s], total[s], strict=True):
+                at = n > 0
+                if at.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[at]), pa.array(n[at]), pa.nulls(int(at.sum()), pa.int64())], ["u", "name", "n", "v"])
         if us:
             u, v = forest(np.concatenate(us), np.concatenate(vs))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.zeros(len(u), np.int64)), pa.array(v)], ["u", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.int64()), pa.array(np.zeros(len(u), np.int64)), pa.array(v)], ["u", "name", "n", "v"])
 
     return met
 
 
 def _found(classes: DataFrame, d: int, least: float) -> DataFrame:
-    """(u, n, v): numbers of links, and the links of a spanning forest, among class representatives of one length."""
+    """(u, name, n, v): numbers of links of classes, and the links of a spanning forest of their representatives, for one length."""
     spark = classes.sparkSession
     rows = classes.where(F.size("x") == d)
     count = rows.count()
@@ -163,17 +164,17 @@ def _found(classes: DataFrame, d: int, least: float) -> DataFrame:
             x = np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             y = _unit(x) @ axis if len(x) else np.zeros(0)
             strip = np.searchsorted(at, y).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "many", "x")), pa.array(strip), pa.array(y)], ["rep", "many", "x", "strip", "y"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "name", "many", "x")), pa.array(strip)], ["rep", "name", "many", "x", "strip"])
 
-    ordered = rows.select("rep", "many", "x").mapInArrow(placed, "rep long, many long, x array<double>, strip int, y double")
+    ordered = rows.select("rep", "name", "many", "x").mapInArrow(placed, "rep long, name long, many long, x array<double>, strip int")
     # A strip is cut further when many vectors share one first coordinate: its tiles are spread, not sorted in one task.
-    tiles = scratch.stage(ordered.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(4))).groupBy("strip", "part").applyInArrow(_tiles(d), "strip int, ids binary, many binary, x binary"), "tiles")
+    tiles = scratch.stage(ordered.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(4))).groupBy("strip", "part").applyInArrow(_tiles(d), "strip int, ids binary, names binary, many binary, x binary"), "tiles")
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
     low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
     meets = [(int(i), int(j)) for i in range(strips) for j in range(i, strips) if low[j] - high[i] <= reach]
     pairs = spark.createDataFrame(meets, "a int, b int")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
-    return tiles.join(F.broadcast(sides), "strip").groupBy("a", "b").applyInArrow(_meet(d, shared, least), "u long, n long, v long")
+    return tiles.join(F.broadcast(sides), "strip").groupBy("a", "b").applyInArrow(_meet(d, shared, least), "u long, name long, n long, v long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -184,19 +185,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     good = rows.where("vec_id is not null and size(x) > 0").where(~bad & F.exists("x", lambda v: v != 0))
     named = good.select(F.col("vec_id").cast("long").alias("vec_id"), "x")
-    classes = scratch.stage(named.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
+    classes = scratch.stage(named.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")).withColumn("name", F.xxhash64("x", "rep")), "classes")
     lengths = [r[0] for r in classes.select(F.size("x")).distinct().collect()]  # the models' dimensions
     found = None
     for d in sorted(lengths):
         part = _found(classes, d, least)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = vectors.sparkSession.createDataFrame([], "u long, n long, v long")
+        found = vectors.sparkSession.createDataFrame([], "u long, name long, n long, v long")
     found = scratch.stage(found, "links")
-    member = scratch.stage(named.join(classes, "x").select("vec_id", "rep", "many"), "members")
-    counted = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    member = scratch.stage(named.join(classes, "x").select("vec_id", "rep", "name", "many"), "members")
+    counted = found.where("v is null").groupBy(F.col("u").alias("rep"), "name").agg(F.sum("n").alias("n"))
     tops = components(found.where("v is not null").select("u", "v").unionByName(member.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))))
-    linked_rows = member.join(counted, "rep", "left").join(tops.select(F.col("u").alias("vec_id"), F.col("v").alias("top")), "vec_id", "left")
+    linked_rows = member.join(counted, ["rep", "name"], "left").join(tops.select(F.col("u").alias("vec_id"), F.col("v").alias("top")), "vec_id", "left")
     done = linked_rows.select("vec_id", (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("top", "vec_id").alias("component_id"))
     alone = rows.where(F.col("vec_id").isNull() | F.coalesce(F.size("x") <= 0, F.lit(True)) | bad | ~F.exists("x", lambda v: v != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"))
     alone = alone.join(tops.select(F.col("u").alias("vec_id"), F.col("v").alias("top")), "vec_id", "left").select("vec_id", "n_links", F.coalesce("top", "vec_id").alias("component_id"))
