@@ -367,15 +367,17 @@ def rotations(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, before
 
 
-def interleave(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shards, block): from which shard each rotation of the merged order is, and the block of those that agree in 2 * rounds bytes."""
+def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards, block): from which shard each rotation of the merged order is, and the block of those that agree in ``depth`` bytes."""
     total = sum(map(len, transforms))
     shards = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     block = np.zeros(total, np.int32)
     joined = np.concatenate(transforms) if transforms else np.zeros(0, np.uint16)
-    for _ in range(rounds):
+    for first in range(0, depth, 2):
         symbols = np.empty(total, np.uint16)
         symbols[np.argsort(shards, kind="stable")] = joined  # each shard's transform in its own order
+        if first == 0 and depth % 2:
+            symbols &= 0xFF00  # an odd depth begins with one byte
         order = np.argsort(symbols, kind="stable")
         shards, symbols, block = shards[order], symbols[order], block[order]
         block = np.cumsum(_groups(symbols, block), dtype=np.int32)
@@ -385,7 +387,7 @@ def interleave(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, n
 def repeated(shards: list[np.ndarray], docs: list[np.ndarray], lefts: list[np.ndarray], rights: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(context, start): windows of the contexts (numbered through all shards) that also occur in a smaller document."""
     made = [rotations(s) for s in shards]
-    merged, block = interleave([t for _, t in made], shape.window // 2 + shape.window % 2)
+    merged, block = interleave([t for _, t in made], shape.window)
     base = np.cumsum([0, *(len(s) for s in shards)])
     place = np.empty(len(merged), np.int64)
     by_shard = np.argsort(merged, kind="stable")
