@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygraph.functions import rng
+from tallygraph.functions.lineage import cut
 from tallygraph.operators import sampling
 from tallygraph.plans.graph import Graph
 from tallygraph.plans.pattern import Pattern
@@ -118,9 +119,9 @@ def generated(pattern: Pattern, predicate: Column | str | None = None) -> Succes
     instance. ``predicate`` is an expression over met (array of id, src, dst) and verts."""
 
     def run(graph: Graph, first: int, n: int, seed: int) -> DataFrame:
-        walkers, neighbours = _started(graph, first, n, seed), graph.neighbours
+        walkers, neighbours = _started(graph, first, n, seed), cut(graph.neighbours)
         for step in range(1, len(pattern.edges)):
-            walkers = _grow(walkers, neighbours, F.col("verts"), seed, step).drop("new_src", "new_dst").where(F.size("verts") <= pattern.size)
+            walkers = _grow(cut(walkers), neighbours, F.col("verts"), seed, step).drop("new_src", "new_dst").where(F.size("verts") <= pattern.size)
         walkers = walkers.where(F.size("verts") == pattern.size)
         ranked = F.array_sort("verts")
         place = lambda v: F.array_position(ranked, v) - 1
@@ -137,9 +138,9 @@ def chain_mining(order: int) -> Successes:
     """Chains of ``order`` vertices that grow at either end; a walk that closes a cycle ends."""
 
     def run(graph: Graph, first: int, n: int, seed: int) -> DataFrame:
-        walkers, neighbours = _started(graph, first, n, seed).withColumn("ends", F.col("verts")), graph.neighbours
+        walkers, neighbours = _started(graph, first, n, seed).withColumn("ends", F.col("verts")), cut(graph.neighbours)
         for step in range(1, order - 1):
-            grown = _grow(walkers, neighbours, F.col("ends"), seed, step).where(F.size("verts") == step + 2)
+            grown = _grow(cut(walkers), neighbours, F.col("ends"), seed, step).where(F.size("verts") == step + 2)
             a, b = F.col("ends")[0], F.col("ends")[1]
             x, y = F.col("new_src"), F.col("new_dst")
             new = F.when(a == x, F.array(y, b)).when(a == y, F.array(x, b)).when(b == x, F.array(a, y)).otherwise(F.array(a, x))

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 def cp(spark: SparkSession, sf_dir: str, every: int = 10, weighted: bool = True) -> Graph:
     raw = derive.co_purchase(spark, sf_dir, every)
-    return Graph.from_edges(raw if weighted else raw.drop("weight"), SEED)
+    return Graph.from_edges(raw if weighted else raw.drop("weight"), SEED).persist()  # several parts of a plan read the graph
 
 
 def r(*parts: object) -> str:
