@@ -9,9 +9,9 @@ All orders put common tokens last: a sketch of the corpus' document frequencies
 level, and below that each order has its own hash. A passage that a third of all documents share is then in few prefixes.
 
 Documents with equal sets are one class from the start, and only its smallest doc_id takes part in the join. A group of near copies isn't
-expanded into pairs: first each document is compared with one candidate per bucket head, the verified links are merged into components, and then
-only pairs of different components that share a prefix token are left to compare. No link between different texts is lost: every candidate pair is
-either compared or already connected.
+expanded into pairs: each document is tied to the heads of its prefix tokens' runs that are candidates, and what these ties connect are the groups. Inside a group all sets are compared in blocks, by products of incidence matrices, and a block gives no more than a spanning
+forest of its links. Then only candidates of different groups are left, which are compared pair by pair. No link between different texts is lost:
+every candidate pair is in one of the two.
 
 Prefixes travel as packed blobs, one per task and bucket, so a shuffle has few rows; a bucket holds the tokens of one hash range.
 
@@ -34,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.llm import kernel, scratch
-from tallygraph.llm.components import components
+from tallygraph.llm.components import components, forest
 from tallygraph.functions.ship import ship
 
-SKETCH, CHUNKS = 1 << 20, 64
+SKETCH_BITS, CHUNKS = 22, 64
+SKETCH = 1 << SKETCH_BITS
 ORDERS = 3
 #: A bucket's tokens: about so many bytes of packed prefixes.
 BUCKET_BYTES = 24 << 20
 #: Ids of candidates up to this number are sent to all tasks (8 bytes each); more are joined by hash.
 BROADCAST_IDS = 1_000_000
+#: Documents a block of a group; tasks that groups of one block share.
+BLOCK, PACKS = 512, 256
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -62,7 +65,7 @@ def levels(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for s in _sets(batch, size):
-                np.add.at(total, (s >> np.uint64(44)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
         width = SKETCH // CHUNKS
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([pack.compress(total[k * width : (k + 1) * width].tobytes()) for k in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
@@ -79,17 +82,18 @@ def levels(docs: DataFrame, size: int) -> np.ndarray:
     if not len(rows):
         return np.zeros(SKETCH, np.uint8)
     total = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.counts]).astype(np.float64)
-    usual = 2 * total.mean() + 16
+    usual = total.mean() + 4 * np.sqrt(total.mean()) + 8  # what rare tokens that share a counter come to
     return np.where(total <= usual, 0, 1 + np.floor(np.log2(np.maximum(total / usual, 1)))).astype(np.uint8)
 
 
 def _keys(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     """A token's place in an order: its level in the upper byte, then the order's own hash."""
-    return (level[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (kernel.mix64(tokens, order) >> np.uint64(8))
+    return (level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (kernel.mix64(tokens, order) >> np.uint64(8))
 
 
 def prefixes(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, first, others): a set's size, signature, its prefix in the first order (sorted), and 32 bits of those in the others."""
+    """(doc_id, n, s1, s2, first, others): a set's size, signature, its prefix in the first order (sorted), and 32 bits of those in the others. Fewer bits
+    would lose no pair, but let unrelated long documents pass."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +153,7 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(kind: np.dtype, percent: int, heads_only: bool):
-    """Pairs of sets of different components in the token runs of one bucket; with heads_only each set and the head of its run."""
+    """Pairs of sets of different parts in the token runs of one bucket; with heads_only each set and the heads of its run."""
 
     def found(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -175,14 +179,24 @@ def _candidates(kind: np.dtype, percent: int, heads_only: bool):
             return low[at], high[at], np.diff(np.append(at, len(low)))
 
         if heads_only:
-            # The head of a run is its set of middle size: the size filter then holds for most of the run.
-            head = np.repeat(begins + sizes // 2, sizes)
-            a, b = rows[head], rows
-            ok = (a["doc"] != b["doc"]) & _possible(a, b, percent)
-            if ok.any():
-                yield batch_of(*once(a["doc"][ok], b["doc"][ok]))
+            # Heads: the smallest document of the run, which is often the same in all runs of a family, and for every fourth token a document drawn for
+            # this token, so that a family is tied together whatever its smallest document is like.
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            pairs = []
+            for drawn in (False, True):
+                here = np.flatnonzero(rows["token"] % np.uint64(4) == 0) if drawn else np.arange(len(rows))
+                rank = kernel.mix64(rows["doc"][here].astype(np.uint64) ^ rows["token"][here], 3) if drawn else rows["doc"][here]
+                order = here[np.lexsort((rank, run[here]))]
+                first = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1]))) if len(order) else order
+                head = np.repeat(order[first], np.diff(np.append(first, len(order))))
+                a, b = rows[head], rows[order]
+                ok = (a["doc"] != b["doc"]) & _possible(a, b, percent)
+                pairs.append(np.column_stack((np.minimum(a["doc"], b["doc"])[ok], np.maximum(a["doc"], b["doc"])[ok])))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            if len(pairs):
+                yield batch_of(*once(pairs[:, 0], pairs[:, 1]))
             return
-        # What is still open: pairs of different components. In each run all but the largest component are few once heads have linked.
+        # What is still open: pairs of different groups. In each run all but the largest group are few.
         run = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((rows["part"], run))
         parts, runs = rows["part"][order], run[order]
@@ -236,9 +250,9 @@ def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(kept, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets, which are made again from the texts of the documents in question alone."""
-    ids = scratch.stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tokens): whole sets, made again from the texts of the documents in question alone. A doc_id with several texts has several."""
+    ids = scratch.stage(ids, "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -246,6 +260,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in _sets(batch, size)], pa.binary())], ["doc_id", "tokens"])
 
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(made, "doc_id long, tokens binary").distinct()
+
+
+def overlaps(sets: list[np.ndarray], split: int, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, common): the numbers of common tokens of sets[:split] with sets[split:], as products of incidence matrices."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+    token = np.cumsum(new) - 1
+    shared = np.bincount(token)[token] > 1
+    token, owner = token[shared], owner[shared]
+    token = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1 if len(token) else token
+    total = np.zeros((split, len(sets) - split), np.float32)
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, columns):
+        a, b = np.searchsorted(token, (first, first + columns))
+        there = np.zeros((len(sets), columns), np.float32)
+        there[owner[a:b], token[a:b] - first] = 1
+        total += there[:split] @ there[split:].T
+    i, j = np.nonzero(total)
+    return i, j, total[i, j].astype(np.int64)
+
+
+def _linked(ids: np.ndarray, sets: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of ids[:split] with ids[split:]; with split 0 of all with all."""
+    sizes = np.array([len(s) for s in sets])
+    if split == 0:
+        if len(sets) == 2:
+            common = len(sets[0]) + len(sets[1]) - len(kernel.distinct(np.concatenate(sets)))
+            i, j, common = np.array([0]), np.array([1]), np.array([common])
+        else:
+            i, j, common = overlaps([*sets, *sets], len(sets))
+            i, j, common = i[i < j], j[i < j], common[i < j]
+    else:
+        i, j, common = overlaps(sets, split)
+        j = j + split
+    ok = (100 * common >= percent * (sizes[i] + sizes[j] - common)) & (ids[i] != ids[j])
+    return forest(ids[i[ok]], ids[j[ok]]) if ok.any() else (ids[:0], ids[:0])
+
+
+def _block_links(percent: int):
+    def compared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(g, b, d, np.frombuffer(t, np.uint64)) for batch in batches for g, b, d, t in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "doc_id", "tokens")), strict=True)]
+        first, second = key[1].as_py(), key[2].as_py()
+        rows.sort(key=lambda x: (x[0], x[1] != first))
+        us, vs = [], []
+        at = 0
+        while at < len(rows):
+            end = at
+            while end < len(rows) and rows[end][0] == rows[at][0]:
+                end += 1
+            group = rows[at:end]
+            split = 0 if first == second else sum(x[1] == first for x in group)
+            if len(group) > 1 and (first == second or 0 < split < len(group)):
+                u, v = _linked(np.array([x[2] for x in group], np.int64), [x[3] for x in group], split, percent)
+                us.append(u)
+                vs.append(v)
+            at = end
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return compared
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within each group (doc_id, part): its documents are dealt to blocks of about BLOCK, and every two blocks meet in one task. Groups of one block
+    share tasks with others."""
+    blocks = groups.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("blocks")).cast("int"))
+    sets = _sets_of(docs, groups.select("doc_id"), size)
+    here = F.col("block")
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(here, j).alias("a"), F.greatest(here, j).alias("b")))
+    tasks = dealt.join(sets, "doc_id").withColumn("m", F.explode(meet))
+    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(PACKS)) - PACKS).otherwise(F.col("part"))
+    return tasks.select(home.alias("home"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), "part", "block", "doc_id", "tokens").groupBy("home", "a", "b").applyInArrow(_block_links(percent), "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
@@ -257,8 +352,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 keep[i] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
 
-    # A doc_id with several texts has several sets, and any of them may link.
-    sets = scratch.stage(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(made, "doc_id long, tokens binary").distinct(), "sets")
+    sets = scratch.stage(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), size), "sets")
     x, y = (sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t)) for k, t in (("u", "x"), ("v", "y")))
     return pairs.join(x, "u").join(y, "v").mapInArrow(compared, "u long, v long")
 
@@ -269,23 +363,31 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     ship(spark)
     docs = docs.select("doc_id", "text")
     level = spark.sparkContext.broadcast(levels(docs, size))  # SKETCH bytes
-    made = scratch.stage(prefixes(docs, level, size, percent), "prefixes")
+    whole = scratch.stage(prefixes(docs, level, size, percent), "prefixes")
+    made = scratch.stage(whole.drop("first", "others"), "sizes")
     usable = made.where("doc_id is not null and n > 0")
-    reps = scratch.stage(usable.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "first", "others")).alias("r")).select("n", "s1", "s2", "r.*"), "classes")
+    least = whole.where("doc_id is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "first", "others")).alias("r"))
+    reps = scratch.stage(least.select("n", "s1", "s2", "r.*"), "classes")
+    scratch.remove(whole)
+    del whole, least
+    scratch.release(spark)
     volume = reps.agg(F.sum(F.length("first"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume * 4 / BUCKET_BYTES))
     member = usable.select("doc_id", "n", "s1", "s2").distinct().join(reps.select("n", "s1", "s2", F.col("doc_id").alias("rep")), ["n", "s1", "s2"])
     member = scratch.stage(member.select("doc_id", "rep"), "members")
-    heads = _bucket_pairs(reps.withColumn("part", F.col("doc_id")), buckets, percent, True).groupBy("u", "v").agg(F.sum("hits").alias("hits"))
+    heads = _bucket_pairs(reps.withColumn("part", F.col("doc_id")), buckets, percent, True).select("u", "v").distinct()
     heads = scratch.stage(heads, "heads")
-    # Each document's best head, and each head's; a pair that is left out here comes again below if it is still open.
-    best = heads.groupBy("u").agg(F.max_by("v", F.struct("hits", "v")).alias("v")).unionByName(heads.groupBy("v").agg(F.max_by("u", F.struct("hits", "u")).alias("u")).select("u", "v")).distinct()
-    links = scratch.stage(_verified(_survivors(best, reps), docs, size, percent), "links")
-    parts = components(links)
-    placed = reps.join(parts.select(F.col("u").alias("doc_id"), F.col("v").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    scratch.release(spark)
+    tops = components(scratch.stage(_survivors(heads, reps), "likely"))
+    groups = tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")).unionByName(tops.select(F.col("v").alias("doc_id"), F.col("v").alias("part")).distinct())
+    scratch.release(spark)
+    links = scratch.stage(_group_links(groups, docs, size, percent), "links")
+    scratch.release(spark)
+    placed = reps.join(tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     open_pairs = scratch.stage(_bucket_pairs(placed, buckets, percent, False).select("u", "v").distinct(), "pairs")
-    open_pairs = open_pairs.join(best, ["u", "v"], "left_anti")
+    scratch.release(spark)
     more = scratch.stage(_survivors(open_pairs, reps), "survivors")
+    scratch.release(spark)
     more = scratch.stage(_verified(more, docs, size, percent), "more")
     every = links.unionByName(more).unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     final = components(every)
