@@ -4,8 +4,10 @@ A document is contaminated by an item when some window of its words is within ``
 edit distance. The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) turns a sequence of words into another one, whose Hamming distance follows
 the edit distance: it copies the current word and advances or not by a random bit of step and word. Two sequences get the same walk, so they fall into
 step again after an edit. LSH keys sample ``BITS`` steps of a walk; a window is a candidate for an item when a key agrees in one of the
-repetitions. The number of repetitions is fitted: items are edited at random up to the allowed distance, and repetitions are added until
-``recall`` of these are found. Every candidate is verified by the exact distance, so nothing is reported that is not there.
+repetitions. The number of repetitions is fitted on each length class: items are edited at random up to the allowed distance, and repetitions are added
+until ``recall`` of these are found; the class that needs most sets the number for all. Walks of long items agree too rarely: a class that
+``MOST_REPEATS`` repetitions don't bring to ``recall`` has all its windows (below) compared exactly instead. Every candidate is verified by the exact
+distance, so nothing is reported that is not there.
 
 Windows: by the pigeonhole principle an item within distance k of a window shares with it an unbroken run of (m - k) / (k + 1) words at least. Windows
 start where such a run (of 3 words at most) puts them, and at the k starts to both sides of it; the others cannot verify and are not embedded.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,13 @@ def run_length(m: int, similarity: float) -> int:
 
 @dataclass(frozen=True)
 class Walks:
-    """Random bits of the walks and the sampled steps of each length class: (class start, steps of each repetition)."""
+    """Random bits of the walks and the sampled steps of each length class: (class start, steps of each repetition).
+
+    repeats: by class, of those that have items; 0 where every window is compared exactly."""
 
     seed: int
-    repeats: int
     steps: tuple[tuple[int, tuple[tuple[int, ...], ...]], ...]
+    repeats: dict[int, int] = field(default_factory=dict)
 
     def class_of(self, m: int) -> int:
         return max(i for i, (start, _) in enumerate(self.steps) if start <= m)
@@ -105,6 +109,25 @@ def distances(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.nda
     return best
 
 
+def start_distances(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each row and each start in ``texts`` (its first ``lengths`` words) the edit distance of the item to the nearest piece that begins there."""
+    width, rows = texts.shape[1], np.arange(len(items))[:, None]
+    ramp = np.arange(width + 1, dtype=np.int32)
+    # From the ends backwards, with a free end: the last row of the table has all starts.
+    back = texts[rows, np.maximum(lengths[:, None] - 1 - np.arange(width), 0)]
+    row = np.zeros((len(items), width + 1), np.int32)
+    last = row.copy()
+    for i in range(int(sizes.max(initial=0))):
+        word = items[rows[:, 0], np.maximum(sizes - 1 - i, 0)]
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (back != word[:, None]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        done = sizes == i + 1
+        last[done] = row[done]
+    return last[rows, np.maximum(lengths[:, None] - np.arange(width), 0)]
+
+
 @dataclass(frozen=True)
 class Items:
     """A block of items, ready to be looked up."""
@@ -147,7 +170,7 @@ def _sampled(word_lists: list[np.ndarray], walks: Walks) -> tuple[np.ndarray, np
     for c, members in by_class.items():
         at = np.array(members)
         begin, end = ends[at] - np.array([len(word_lists[i]) for i in members]), ends[at]
-        for r in range(walks.repeats):
+        for r in range(walks.repeats[c]):
             found.append(keys(flat, begin, end, walks, r, [c])[c])
             owners.append(at)
     if not found:
@@ -157,38 +180,38 @@ def _sampled(word_lists: list[np.ndarray], walks: Walks) -> tuple[np.ndarray, np
     return k[order], o[order]
 
 
-def fit_repeats(word_lists: list[np.ndarray], similarity: float, recall: float, seed: int, trials: int = 400) -> int:
-    """How many repetitions find ``recall`` of the items after as many random edits as are allowed."""
-    usable = [w for w in word_lists if len(w)]
-    if not usable:
-        return 1
-    rng = np.random.default_rng(seed)
-    chosen = [usable[int(rng.integers(len(usable)))] for _ in range(trials)]
-    longest = max(map(len, usable))
-    walks = Walks(seed, MOST_REPEATS, class_steps(longest, seed, MOST_REPEATS))
-    noisy = [_edited(w, allowed(len(w), similarity), rng) for w in chosen]
-    clean, dirty = np.concatenate(chosen), np.concatenate(noisy)
-    clean_end, dirty_end = np.cumsum([len(w) for w in chosen]), np.cumsum([len(w) for w in noisy])
-    clean_at, dirty_at = clean_end - [len(w) for w in chosen], dirty_end - [len(w) for w in noisy]
-    of = np.array([walks.class_of(len(w)) for w in chosen])
-    hit = np.zeros(trials, bool)
-    for r in range(MOST_REPEATS):
-        classes = sorted(set(of.tolist()))
-        a, b = keys(clean, clean_at, clean_end, walks, r, classes), keys(dirty, dirty_at, dirty_end, walks, r, classes)
-        for c in classes:
-            hit |= (of == c) & (a[c] == b[c])
-        if hit.mean() >= recall:
-            return r + 1
-    return MOST_REPEATS
+def fit_repeats(word_lists: list[np.ndarray], walks: Walks, similarity: float, recall: float, trials: int = 1000) -> dict[int, int]:
+    """For each length class how many repetitions find ``recall`` of the items after as many random edits as are allowed, in the worst class too; 0 for a
+    class in which MOST_REPEATS don't."""
+    rng = np.random.default_rng(walks.seed)
+    members: dict[int, list[np.ndarray]] = {}
+    for w in word_lists:
+        if len(w):
+            members.setdefault(walks.class_of(len(w)), []).append(w)
+    repeats = {}
+    for c, usable in sorted(members.items()):
+        chosen = [usable[int(rng.integers(len(usable)))] for _ in range(trials)]
+        noisy = [_edited(w, allowed(len(w), similarity), rng) for w in chosen]
+        clean, dirty = np.concatenate(chosen), np.concatenate(noisy)
+        clean_end, dirty_end = np.cumsum([len(w) for w in chosen]), np.cumsum([len(w) for w in noisy])
+        clean_at, dirty_at = clean_end - [len(w) for w in chosen], dirty_end - [len(w) for w in noisy]
+        hit, repeats[c] = np.zeros(trials, bool), 0
+        for r in range(MOST_REPEATS):
+            hit |= keys(clean, clean_at, clean_end, walks, r, [c])[c] == keys(dirty, dirty_at, dirty_end, walks, r, [c])[c]
+            if hit.mean() >= recall:
+                repeats[c] = r + 1
+                break
+    most = max(repeats.values(), default=0)
+    return {c: n and most for c, n in repeats.items()}
 
 
 def prepare(ids: list, texts: list[str], similarity: float, recall: float, seed: int) -> Items:
     data, offsets = kernel.column_bytes(pa.array([t or "" for t in texts], pa.large_string()))
     hashes, _, _, first = kernel.words(data, offsets)
     word_lists = [hashes[first[i] : first[i + 1]] for i in range(len(ids))]
-    repeats = fit_repeats(word_lists, similarity, recall, seed)
     longest = max([1, *map(len, word_lists)])
-    walks = Walks(seed, repeats, class_steps(longest, seed, repeats))
+    walks = Walks(seed, class_steps(longest, seed, MOST_REPEATS))
+    walks = replace(walks, repeats=fit_repeats(word_lists, walks, similarity, recall))
     grams = []
     for q in range(1, RUN + 1):
         rows = [(kernel.shingles(w, q), i) for i, w in enumerate(word_lists) if len(w) and run_length(len(w), similarity) == q]
@@ -224,11 +247,12 @@ class Search:
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.filters.append(bits)
-        self.classes = sorted({items.walks.class_of(int(m)) for m in self.sizes if m})
+        self.repeats = items.walks.repeats
+        self.exact = np.array([m > 0 and not self.repeats[items.walks.class_of(int(m))] for m in self.sizes], bool)
 
-    def windows(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, start): where item-sized windows that can verify begin, each once."""
-        docs, starts = [], []
+    def windows(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start): where item-sized windows that can verify begin, each once; and (doc, item, from, to) of the starts for items compared exactly."""
+        docs, starts, spans = [], [], []
         for (q, known, item, place), bits in zip(self.items.grams, self.filters, strict=True):
             if len(hashes) < q:
                 continue
@@ -240,6 +264,12 @@ class Search:
             doc = np.searchsorted(first, at, side="right") - 1
             inside = at + q <= first[doc + 1]
             at, hit, doc = at[inside], hit[inside], doc[inside]
+            whole = self.exact[item[hit]]
+            if whole.any():
+                d, i = doc[whole], item[hit[whole]]
+                begin = at[whole] - place[hit[whole]]
+                spans.append(np.column_stack((d, i, np.maximum(begin - self.most[i], first[d]), np.minimum(begin + self.most[i] + 1, first[d + 1]))))
+            at, hit, doc = at[~whole], hit[~whole], doc[~whole]
             k = self.most[item[hit]]
             owner, start = _ranges(at - place[hit] - k, at - place[hit] + k + 1)
             doc = doc[owner]
@@ -247,16 +277,17 @@ class Search:
             pair = np.unique(np.column_stack((doc[fits], start[fits])), axis=0)
             docs.append(pair[:, 0])
             starts.append(pair[:, 1])
+        span = np.concatenate(spans) if spans else np.zeros((0, 4), np.int64)
         if not docs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), span
         pair = np.unique(np.column_stack((np.concatenate(docs), np.concatenate(starts))), axis=0)
-        return pair[:, 0], pair[:, 1]
+        return pair[:, 0], pair[:, 1], span
 
     def candidates(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) that share a key in some repetition, each once."""
         found = []
-        for r in range(self.items.walks.repeats):
-            made = keys(hashes, starts, ends, self.items.walks, r, self.classes)
+        for r in range(max(self.repeats.values(), default=0)):
+            made = keys(hashes, starts, ends, self.items.walks, r, [c for c, n in self.repeats.items() if n > r])
             for k in made.values():
                 low, high = np.searchsorted(self.items.keys, k), np.searchsorted(self.items.keys, k, side="right")
                 owner, at = _ranges(low, high)
@@ -264,10 +295,41 @@ class Search:
         pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pair // max(1, len(self.sizes)), pair % max(1, len(self.sizes))
 
+    def compared(self, hashes: np.ndarray, first: np.ndarray, span: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+        """(doc, item, start, distance) within the allowed distance, of all starts of ``span``."""
+        span = span[span[:, 2] < span[:, 3]]
+        if not len(span):
+            return
+        span = span[np.lexsort((span[:, 2], span[:, 1], span[:, 0]))]
+        # Overlapping spans become one: a pair's positions don't meet the next pair's, as they are moved apart.
+        _, pair = np.unique(span[:, :2], axis=0, return_inverse=True)
+        base = pair.reshape(-1).astype(np.int64) * (len(hashes) + 1)
+        reached = np.maximum.accumulate(base + span[:, 3])
+        begins = np.flatnonzero(np.concatenate(([True], base[1:] + span[1:, 2] > reached[:-1])))
+        low, high = span[begins, 2], np.append(reached[begins[1:] - 1], reached[-1]) - base[begins]
+        # Pieces of about an item's length keep the rows of a table alike.
+        size = np.maximum(self.sizes[span[begins, 1]], 64)
+        owner, piece = _ranges(np.zeros_like(low), -(-(high - low) // size))
+        low, high = low[owner] + piece * size[owner], np.minimum(low[owner] + (piece + 1) * size[owner], high[owner])
+        doc, item = span[begins[owner], 0], span[begins[owner], 1]
+        stop = np.minimum(high + self.sizes[item] + self.most[item], first[doc + 1])
+        order = np.lexsort((stop - low, self.sizes[item]))
+        step = max(1, cells // int((stop - low).max()))
+        for b in range(0, len(order), step):
+            o = order[b : b + step]
+            length = stop[o] - low[o]
+            text = hashes[np.minimum(low[o][:, None] + np.arange(int(length.max())), len(hashes) - 1)]
+            gap = start_distances(self.table[item[o]], self.sizes[item[o]], text, length)
+            gap = np.where(np.arange(gap.shape[1]) < (high - low)[o][:, None], gap, np.iinfo(np.int32).max)
+            best = gap.argmin(axis=1)
+            least = gap[np.arange(len(o)), best]
+            ok = least <= self.most[item[o]]
+            yield np.column_stack((doc[o], item[o], low[o] + best - first[doc[o]], least))[ok]
+
     def search(self, hashes: np.ndarray, first: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, ...]:
         """(doc, item, start, distance) of everything within the allowed distance."""
-        doc, start = self.windows(hashes, first)
-        out = []
+        doc, start, span = self.windows(hashes, first)
+        out = list(self.compared(hashes, first, span))
         for a in range(0, len(doc), step):
             d, s = doc[a : a + step], start[a : a + step]
             window, item = self.candidates(hashes, s, first[d + 1])
