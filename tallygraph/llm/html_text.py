@@ -37,6 +37,8 @@ from tallygraph.functions.ship import ship
 # Element names as the HTML standard has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math head title object canvas audio video textarea select".split())
+#: What may stand in a head; any other element ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 RAW_TEXT = frozenset("script style textarea title iframe noscript xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr del".split())
 CLOSES = {
@@ -72,6 +74,7 @@ def parse(source: str) -> Page:
     page, stack, names = Page(), [0], ["#page"]
     buffer: list[str] = []
     in_link, link_chars, skip = 0, 0, ""
+    unclosed: set[str] = set()  # raw elements without an end tag in what is left
 
     def flush() -> None:
         nonlocal link_chars
@@ -97,6 +100,8 @@ def parse(source: str) -> Page:
         at = m.end()
         text = m[4]
         if text is not None:
+            if skip == "head" and text.strip():
+                skip = ""
             if not skip:
                 buffer.append(text)
                 if in_link:
@@ -117,6 +122,12 @@ def parse(source: str) -> Page:
             elif name not in INLINE and name in names:
                 close(len(names) - 1 - names[::-1].index(name))
             continue
+        if skip == "head" and name not in IN_HEAD and name != "head":
+            skip = ""
+        if skip == "head" and (name in RAW_TEXT or name == "template"):
+            stop = re.compile(rf"</{name}\s*>", re.I).search(source, at) if name not in unclosed else None
+            at = stop.end() if stop else at
+            unclosed.update([] if stop else [name])
         if skip:
             continue
         if name in RAW_TEXT:  # up to its own end tag, whatever is inside
@@ -124,7 +135,11 @@ def parse(source: str) -> Page:
             at = stop.end() if stop else end
             continue
         if name in RAW and not m[3].endswith("/"):
-            skip = name
+            # An element without its end tag loses the tag only, not the rest of the page.
+            if name == "head" or name not in unclosed and re.compile(rf"</{name}[\s/>]", re.I).search(source, at):
+                skip = name
+            else:
+                unclosed.add(name)
             continue
         if name == "a":
             in_link = 1
