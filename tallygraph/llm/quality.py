@@ -7,7 +7,7 @@ regression on labelled documents that no dictionary has seen.
 
 Fitting takes a bounded sample of the labelled training rows: the ``PER_CLASS`` documents of each label with the smallest hash
 of their doc_id, half of them for the dictionaries and half for the calibration. Labels, lang, source and doc_id are no inputs of
-a score. The held-out fold (crc32 of doc_id as text, mod 3, equal to 1) is never learned from. Whole texts are scored.
+a score. The held-out fold (crc32 of doc_id as text, mod 3, equal to 1) is never learned from. Whole texts are learned from and scored.
 
 Defined results: a null or empty text scores as the calibration has it for length 0, always the same. When one class has no
 training document the score is the share of the other; without any labels it is 0.5. A doc_id with labels of both kinds is learned
@@ -31,8 +31,6 @@ from tallygraph.functions.ship import ship
 PER_CLASS = 1500
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
-#: Training reads so much of one document, so that no document rules a dictionary. Scores read whole texts.
-TRAIN_BYTES = 20_000
 FEATURES = 6
 
 
@@ -42,7 +40,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _dictionary(texts: list[bytes]) -> bytes:
     """The most useful parts of ``texts``; short inputs, which cannot be trained on, are the dictionary themselves."""
-    chunks = [t[i : i + 2000] for t in texts for i in range(0, min(len(t), TRAIN_BYTES), 2000)]
+    chunks = [t[i : i + 2000] for t in texts for i in range(0, len(t), 2000)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, chunks).as_bytes()
     except zstandard.ZstdError:
@@ -95,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     for label in (0, 1):
         some = known.where(F.col("quality") == label).orderBy(order, "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, TRAIN_BYTES)
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id", "quality"]).toPandas()
     rows = rows.sort_values(["doc_id", "quality"])
     texts, marks = [t.encode() for t in rows.text], rows.quality.to_numpy(float)
