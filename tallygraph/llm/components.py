@@ -76,8 +76,7 @@ def components(links: DataFrame) -> DataFrame:
         small = _larger_first(paired.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))).distinct()
         small = scratch.stage(small, "small")
         # Done when each node has one link and no link's end has one of its own.
-        tops = small.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        deep = small.select("v").distinct().join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if tops.where("n > 1").limit(1).count() == 0 and deep.limit(1).count() == 0:
+        ends = small.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(small.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").limit(1).count() == 0:
             return small
         edges = small

@@ -9,9 +9,11 @@ All orders put common tokens last: a sketch of the corpus' document frequencies
 level, and below that each order has its own hash. A passage that a third of all documents share is then in few prefixes.
 
 Documents with equal sets are one class from the start, and only its smallest doc_id takes part in the join. A group of near copies isn't
-expanded into pairs: each document is tied to the heads of its prefix tokens' runs that are candidates, and what these ties connect are the groups. Inside a group all sets are compared in blocks, by products of incidence matrices, and a block gives no more than a spanning
-forest of its links. Then only candidates of different groups are left, which are compared pair by pair. No link between different texts is lost:
-every candidate pair is in one of the two.
+expanded into pairs: each document is tied to the heads of its tokens' runs, by a few prefix tokens first and by all of them where parts are still
+apart; ties whose prefixes meet under every order connect the documents to parts. Then the runs are gone through for pairs of different parts alone, and those
+that meet under every order join their parts to groups. So every pair that meets under all orders lies in one group. A group's documents are dealt to blocks by their size; every two
+blocks meet in one task, which intersects the orders' filters for all their pairs at once, by products of incidence matrices of the prefixes, and compares the
+sets of the pairs that are left; it gives no more than a spanning forest of its links. No link between different texts is lost.
 
 Prefixes travel as packed blobs, one per task and bucket, so a shuffle has few rows; a bucket holds the tokens of one hash range.
 
@@ -37,15 +39,17 @@ from tallygraph.llm import kernel, scratch
 from tallygraph.llm.components import components, forest
 from tallygraph.functions.ship import ship
 
-SKETCH_BITS, CHUNKS = 22, 64
+SKETCH_BITS, CHUNKS = 24, 64
 SKETCH = 1 << SKETCH_BITS
 ORDERS = 3
 #: A bucket's tokens: about so many bytes of packed prefixes.
 BUCKET_BYTES = 24 << 20
 #: Ids of candidates up to this number are sent to all tasks (8 bytes each); more are joined by hash.
 BROADCAST_IDS = 1_000_000
-#: Documents a block of a group; tasks that groups of one block share.
-BLOCK, PACKS = 512, 256
+#: Prefix tokens of a document that tie it to others.
+TIES = 4
+#: A block of a group: at most about so many documents, and so many shingles in all; shingles of small groups that share a task.
+BLOCK, BLOCK_SHINGLES, PACK_SHINGLES = 1024, 2_000_000, 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -59,7 +63,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
 
 
 def levels(docs: DataFrame, size: int) -> np.ndarray:
-    """A level for each of SKETCH counters: 0 for usual frequencies, then one more for each doubling."""
+    """A level for each of SKETCH counters: 0 for usual frequencies, then one more for each doubling of what is above the mean."""
+    width = SKETCH // CHUNKS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
@@ -67,23 +72,26 @@ def levels(docs: DataFrame, size: int) -> np.ndarray:
             for s in _sets(batch, size):
                 np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
-        width = SKETCH // CHUNKS
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([pack.compress(total[k * width : (k + 1) * width].tobytes()) for k in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
+        planes = (np.ascontiguousarray(total[k * width : (k + 1) * width].view(np.uint8).reshape(-1, 4).T).tobytes() for k in range(CHUNKS))  # most high bytes are 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([pack.compress(p) for p in planes], pa.binary())], ["chunk", "counts"])
 
     def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, total = zstandard.ZstdDecompressor(), 0
+        unpack, total = zstandard.ZstdDecompressor(), np.zeros(width, np.uint64)
         for batch in batches:
             for blob in batch.column("counts").to_pylist():
-                total = total + np.frombuffer(unpack.decompress(blob), np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+                total += np.ascontiguousarray(np.frombuffer(unpack.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        eighths = np.minimum(255, np.round(8 * np.log2(1 + total.astype(np.float64)))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([eighths.tobytes()], pa.binary())], ["chunk", "total", "eighths"])
 
     parts = docs.select("text").mapInArrow(counted, "chunk int, counts binary")
-    rows = parts.groupBy("chunk").applyInArrow(added, "chunk int, counts binary").toPandas().sort_values("chunk")  # SKETCH numbers
+    rows = parts.groupBy("chunk").applyInArrow(added, "chunk int, total long, eighths binary").toPandas().sort_values("chunk")  # SKETCH bytes
     if not len(rows):
         return np.zeros(SKETCH, np.uint8)
-    total = np.concatenate([np.frombuffer(b, np.uint64) for b in rows.counts]).astype(np.float64)
-    usual = total.mean() + 4 * np.sqrt(total.mean()) + 8  # what rare tokens that share a counter come to
-    return np.where(total <= usual, 0, 1 + np.floor(np.log2(np.maximum(total / usual, 1)))).astype(np.uint8)
+    mean = int(rows.total.sum()) / SKETCH
+    spread = 4 * math.sqrt(mean) + 8  # what rare tokens that share a counter come to, above the mean
+    above = np.maximum(2 ** (np.arange(256) / 8) - 1 - mean, 0) / spread
+    level = np.where(above <= 1, 0, 1 + np.floor(np.log2(np.maximum(above, 1)))).astype(np.uint8)
+    return level[np.frombuffer(b"".join(rows.eighths), np.uint8)]
 
 
 def _keys(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
@@ -91,6 +99,13 @@ def _keys(tokens: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     return (level[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (kernel.mix64(tokens, order) >> np.uint64(8))
 
 
+def _prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The keys of a set's prefix in an order, sorted."""
+    p = prefix_length(len(tokens), percent) if len(tokens) else 0
+    keys = _keys(tokens, level, order)
+    return np.sort(np.partition(keys, p - 1)[:p]) if p else keys
+
+
 def prefixes(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
     """(doc_id, n, s1, s2, first, others): a set's size, signature, its prefix in the first order (sorted), and 32 bits of those in the others. Fewer bits
     would lose no pair, but let unrelated long documents pass."""
@@ -101,9 +116,8 @@ def prefixes(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
             for s in _sets(batch, size):
                 n.append(len(s))
                 sums.append((int(kernel.mix64(s, 101).sum(dtype=np.uint64)), int(kernel.mix64(s, 102).sum(dtype=np.uint64))))
-                p = prefix_length(len(s), percent) if len(s) else 0
-                own = [np.partition(k, p - 1)[:p] if p else k for k in (_keys(s, level.value, o) for o in range(ORDERS))]
-                first.append(np.sort(own[0]).tobytes())
+                own = [_prefix(s, level.value, o, percent) for o in range(ORDERS)]
+                first.append(own[0].tobytes())
                 others.append(b"".join(np.sort(k.astype(np.uint32)).tobytes() for k in own[1:]))
             marks = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(first, pa.binary()), pa.array(others, pa.binary())], ["doc_id", "n", "s1", "s2", "first", "others"])
@@ -190,7 +204,7 @@ def _candidates(kind: np.dtype, percent: int, heads_only: bool):
                 first = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1]))) if len(order) else order
                 head = np.repeat(order[first], np.diff(np.append(first, len(order))))
                 a, b = rows[head], rows[order]
-                ok = (a["doc"] != b["doc"]) & _possible(a, b, percent)
+                ok = (a["doc"] != b["doc"]) & (a["part"] != b["part"]) & _possible(a, b, percent)
                 pairs.append(np.column_stack((np.minimum(a["doc"], b["doc"])[ok], np.maximum(a["doc"], b["doc"])[ok])))
             pairs = np.unique(np.concatenate(pairs), axis=0)
             if len(pairs):
@@ -246,21 +260,15 @@ def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep[i] = all(np.isin(p, q, kind="sort").any() if p[0] <= q[-1] and q[0] <= p[-1] else False for p, q in zip(a, b, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
 
-    x, y = (reps.select(F.col("doc_id").alias(k), F.col("others").alias(o)) for k, o in (("u", "x"), ("v", "y")))
+    asked = _only(reps.select("doc_id", "others"), pairs)
+    x, y = (asked.select(F.col("doc_id").alias(k), F.col("others").alias(o)) for k, o in (("u", "x"), ("v", "y")))
     return pairs.select("u", "v").join(x, "u").join(y, "v").mapInArrow(kept, "u long, v long")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tokens): whole sets, made again from the texts of the documents in question alone. A doc_id with several texts has several."""
-    ids = scratch.stage(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in _sets(batch, size)], pa.binary())], ["doc_id", "tokens"])
-
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(made, "doc_id long, tokens binary").distinct()
+def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in one of the pairs."""
+    ids = scratch.stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def overlaps(sets: list[np.ndarray], split: int, columns: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,77 +292,81 @@ def overlaps(sets: list[np.ndarray], split: int, columns: int = 2048) -> tuple[n
     return i, j, total[i, j].astype(np.int64)
 
 
-def _linked(ids: np.ndarray, sets: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of ids[:split] with ids[split:]; with split 0 of all with all."""
-    sizes = np.array([len(s) for s in sets])
+def _linked(ids: np.ndarray, sets: list[np.ndarray], split: int, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of ids[:split] with ids[split:]; with split 0 of all with all. Pairs meet under every order before they are compared."""
     if split == 0:
-        if len(sets) == 2:
-            common = len(sets[0]) + len(sets[1]) - len(kernel.distinct(np.concatenate(sets)))
-            i, j, common = np.array([0]), np.array([1]), np.array([common])
-        else:
-            i, j, common = overlaps([*sets, *sets], len(sets))
-            i, j, common = i[i < j], j[i < j], common[i < j]
+        ids, sets, split, same = np.concatenate((ids, ids)), [*sets, *sets], len(sets), True
     else:
-        i, j, common = overlaps(sets, split)
-        j = j + split
-    ok = (100 * common >= percent * (sizes[i] + sizes[j] - common)) & (ids[i] != ids[j])
-    return forest(ids[i[ok]], ids[j[ok]]) if ok.any() else (ids[:0], ids[:0])
+        same = False
+    sizes = np.array([len(s) for s in sets])
+    meet = np.ones((split, len(sets) - split), bool)
+    if same:
+        meet &= np.arange(split)[:, None] < np.arange(split)
+    meet &= ids[:split, None] != ids[split:]
+    small, large = np.minimum.outer(sizes[:split], sizes[split:]), np.maximum.outer(sizes[:split], sizes[split:])
+    meet &= small * 100 >= percent * large
+    for order in range(ORDERS):
+        if not meet.any():
+            return ids[:0], ids[:0]
+        half = [_prefix(s, level, order, percent) for s in (sets[:split] if same else sets)]
+        i, j, _ = overlaps([*half, *half] if same else half, split)
+        there = np.zeros(meet.shape, bool)
+        there[i, j] = True
+        meet &= there
+    rows, columns = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+    if not len(rows):
+        return ids[:0], ids[:0]
+    i, j, common = overlaps([*(sets[k] for k in rows), *(sets[split + k] for k in columns)], len(rows))
+    i, j = rows[i], columns[j]
+    a, b = sizes[i], sizes[split + j]
+    ok = meet[i, j] & (100 * common >= percent * (a + b - common))
+    return forest(ids[i[ok]], ids[split + j[ok]]) if ok.any() else (ids[:0], ids[:0])
 
 
-def _block_links(percent: int):
+def _block_links(size: int, percent: int, level):
     def compared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(g, b, d, np.frombuffer(t, np.uint64)) for batch in batches for g, b, d, t in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "doc_id", "tokens")), strict=True)]
         first, second = key[1].as_py(), key[2].as_py()
-        rows.sort(key=lambda x: (x[0], x[1] != first))
+        groups: dict[int, dict] = {}
+        for batch in batches:
+            for part, block, doc, tokens in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "doc_id")), _sets(batch, size), strict=True):
+                groups.setdefault(part, {})[doc, len(tokens), int(tokens.sum(dtype=np.uint64))] = (block, tokens)  # rows that repeat are one
         us, vs = [], []
-        at = 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end][0] == rows[at][0]:
-                end += 1
-            group = rows[at:end]
-            split = 0 if first == second else sum(x[1] == first for x in group)
-            if len(group) > 1 and (first == second or 0 < split < len(group)):
-                u, v = _linked(np.array([x[2] for x in group], np.int64), [x[3] for x in group], split, percent)
+        for members in groups.values():
+            rows = sorted(((block != first, doc, tokens) for (doc, _, _), (block, tokens) in members.items()), key=lambda x: x[0])
+            split = 0 if first == second else sum(not x[0] for x in rows)
+            if len(rows) > 1 and (first == second or 0 < split < len(rows)):
+                u, v = _linked(np.array([x[1] for x in rows], np.int64), [x[2] for x in rows], split, percent, level.value)
                 us.append(u)
                 vs.append(v)
-            at = end
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return compared
 
 
-def _group_links(groups: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links within each group (doc_id, part): its documents are dealt to blocks of about BLOCK, and every two blocks meet in one task. Groups of one block
-    share tasks with others."""
-    blocks = groups.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("blocks")).cast("int"))
-    sets = _sets_of(docs, groups.select("doc_id"), size)
+def _group_links(groups: DataFrame, docs: DataFrame, sizes: DataFrame, level, size: int, percent: int) -> DataFrame:
+    """Links within each group (doc_id, part): its documents are dealt to blocks by their number and size, and every two blocks meet in one task. Small
+    groups share tasks. The texts travel, being smaller than their sets."""
+    weighed = scratch.stage(groups.join(sizes.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "weighed")
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    blocks = scratch.stage(weighed.groupBy("part").agg(need.cast("int").alias("blocks")), "blocks")
+    packs = max(64, math.ceil((weighed.agg(F.sum("n")).first()[0] or 0) / PACK_SHINGLES))
+    split = blocks.where("blocks > 1")
+    split = F.broadcast(split) if split.count() <= BROADCAST_IDS else split
+    dealt = weighed.drop("n").join(split, "part", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col("blocks")).cast("int"))
+    dealt = F.broadcast(dealt) if weighed.count() <= BROADCAST_IDS else dealt
     here = F.col("block")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(here, j).alias("a"), F.greatest(here, j).alias("b")))
-    tasks = dealt.join(sets, "doc_id").withColumn("m", F.explode(meet))
-    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(PACKS)) - PACKS).otherwise(F.col("part"))
-    return tasks.select(home.alias("home"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), "part", "block", "doc_id", "tokens").groupBy("home", "a", "b").applyInArrow(_block_links(percent), "u long, v long")
+    tasks = docs.join(dealt, "doc_id").withColumn("m", F.explode(meet))
+    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(packs)) - packs).otherwise(F.col("part"))
+    sent = tasks.select(home.alias("home"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), "part", "block", "doc_id", "text")
+    return sent.groupBy("home", "a", "b").applyInArrow(_block_links(size, percent, level), "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((a, b))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
-
-    sets = scratch.stage(_sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), size), "sets")
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t)) for k, t in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").mapInArrow(compared, "u long, v long")
+def _with_tops(tops: DataFrame) -> DataFrame:
+    """(doc_id, part) of all nodes of components."""
+    return tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")).unionByName(tops.select(F.col("v").alias("doc_id"), F.col("v").alias("part")).distinct())
 
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -375,21 +387,23 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume * 4 / BUCKET_BYTES))
     member = usable.select("doc_id", "n", "s1", "s2").distinct().join(reps.select("n", "s1", "s2", F.col("doc_id").alias("rep")), ["n", "s1", "s2"])
     member = scratch.stage(member.select("doc_id", "rep"), "members")
-    heads = _bucket_pairs(reps.withColumn("part", F.col("doc_id")), buckets, percent, True).select("u", "v").distinct()
-    heads = scratch.stage(heads, "heads")
-    scratch.release(spark)
-    tops = components(scratch.stage(_survivors(heads, reps), "likely"))
-    groups = tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")).unionByName(tops.select(F.col("v").alias("doc_id"), F.col("v").alias("part")).distinct())
-    scratch.release(spark)
-    links = scratch.stage(_group_links(groups, docs, size, percent), "links")
-    scratch.release(spark)
-    placed = reps.join(tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    tops, placed = None, reps.withColumn("part", F.col("doc_id"))
+    for first in (F.substring("first", 1, 8 * TIES), F.col("first")):
+        ties = scratch.stage(_bucket_pairs(placed.withColumn("first", first), buckets, percent, True).select("u", "v").distinct(), "ties")
+        likely = scratch.stage(_survivors(ties, reps), "likely")
+        scratch.release(spark)
+        tops = components(likely if tops is None else likely.unionByName(tops))
+        placed = reps.join(tops.select(F.col("u").alias("doc_id"), F.col("v").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     open_pairs = scratch.stage(_bucket_pairs(placed, buckets, percent, False).select("u", "v").distinct(), "pairs")
     scratch.release(spark)
-    more = scratch.stage(_survivors(open_pairs, reps), "survivors")
+    groups = components(tops.unionByName(scratch.stage(_survivors(open_pairs, reps), "survivors")))
+    scratch.remove(reps)
+    del reps, placed
+    scratch.release(spark)
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    links = scratch.stage(_group_links(_with_tops(groups), known, usable, level, size, percent), "links")
     scratch.release(spark)
-    more = scratch.stage(_verified(more, docs, size, percent), "more")
-    every = links.unionByName(more).unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    every = links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     final = components(every)
     rows = made.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(final.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("v", "doc_id").alias("component_id"))
