@@ -8,10 +8,12 @@ suffixes as far as their first ``window`` bytes. Suffixes that cannot repeat are
 2. Anchors meet by hash, packed in blobs of many. Of equal contexts only those of the smallest document can still be new, so every other is a repeat,
    whole; a gram with one context in the corpus needs no more. What is left are grams with several contexts: the ends of shared passages and the
    surroundings of edits.
-3. These contexts are sorted by merging transforms. The contexts that one task has sent to a bucket are a shard; a shard's rotations are sorted by
+3. Every window reaches from its anchor's gram to one side by half of what it has besides the gram, or more. So a context of which neither the gram with the
+   half to the left nor that with the half to the right is in another document's context has no repeat and is left out.
+4. The other contexts are sorted by merging transforms. Contexts as they arrive at a bucket are cut into shards; a shard's rotations are sorted by
    themselves. The shards' transforms are merged by refining their interleave (Holt and McMillan 2014): each round distributes the interleaved
-   transform by its symbols (two bytes at a time), which sorts all rotations two bytes deeper without comparing any; block borders that
-   appear in a round give the common prefixes. After window / 2 rounds the blocks are the repeated intervals: all places of one window string.
+   transform by its symbols (four bytes at a time), which sorts all rotations four bytes deeper without comparing any; block borders that
+   appear in a round give the common prefixes. After window / 4 rounds the blocks are the repeated intervals: all places of one window string.
    A block's smallest doc_id decides about the others.
 
 Contexts of a document that repeats within one task are settled there, so a passage in a third of all documents is a row or so of each task.
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from tallygraph.llm import kernel, scratch
 from tallygraph.functions.ship import ship
 
-#: Anchors a bucket, anchors and contexts that a task holds before it packs them, contexts a bucket of step 3.
-BUCKET, FLUSH, CONTEXTS_FLUSH, CONTEXTS = 1_200_000, 1 << 19, 1 << 16, 16_000
+#: Anchors a bucket, anchors and contexts that a task holds before it packs them, contexts a bucket of step 3, contexts a shard at least.
+BUCKET, FLUSH, CONTEXTS_FLUSH, CONTEXTS, SHARD = 1_200_000, 1 << 19, 1 << 16, 16_000, 1_000
+#: Types that number the shards of a bucket, narrowest first: the sort is fastest on the first.
+NUMBERS = (np.uint16, np.uint32)
 PIECE = 1 << 19
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
@@ -50,23 +54,40 @@ class Shape:
         self.window, self.gram = window, max(1, window * 2 // 5)
         self.reach = window - self.gram
         self.context = self.gram + 2 * self.reach
-        self.cyclic = self.context + self.context % 2  # rotations of an even number of bytes
+        self.cyclic = self.context + -self.context % 4  # rotations of whole symbols
 
 
-def _rolled(data: np.ndarray, length: int) -> np.ndarray:
-    """A hash of the ``length`` bytes from each place on, by doubling."""
-    power = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
+
+
+def _rolled(data: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """For each length a hash of that many bytes from each place on, by doubling."""
     with np.errstate(over="ignore"):
         have, k = {1: _LETTER[data]}, 1
-        while 2 * k <= length:
-            have[2 * k] = have[k][:-k] * power(k) + have[k][k:]
+        while 2 * k <= min(max(lengths), len(data)):
+            have[2 * k] = have[k][:-k] * _power(k) + have[k][k:]
             k *= 2
-        out, done = None, 0
-        for k in sorted(have, reverse=True):
-            if length & k:
-                out = have[k] if out is None else out[: len(out) - k] * power(k) + have[k][done : done + len(out) - k]
-                done += k
-    return kernel.mix64(out)
+        made = []
+        for length in lengths:
+            if len(data) < length:
+                made.append(np.zeros(0, np.uint64))
+                continue
+            out, done = None, 0
+            for k in sorted(have, reverse=True):
+                if length & k:
+                    out = have[k] if out is None else out[: len(out) - k] * _power(k) + have[k][done : done + len(out) - k]
+                    done += k
+            made.append(kernel.mix64(out))
+    return made
+
+
+def _whole_hash(rows: np.ndarray) -> np.ndarray:
+    """The same hash of whole rows of bytes."""
+    length = rows.shape[1]
+    powers = np.array([_power(length - 1 - k) for k in range(length)], np.uint64)
+    with np.errstate(over="ignore"):
+        return kernel.mix64((_LETTER[rows] * powers).sum(axis=1, dtype=np.uint64))
 
 
 def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -78,14 +99,13 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(places, gram hashes) of the anchors in the pieces data[offsets[i]:offsets[i + 1]]."""
-    n, w, g = len(data), shape.window, shape.gram
+def anchors(made: np.ndarray, n: int, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(places, gram hashes) of the anchors in the pieces of n bytes that offsets cut; ``made`` are the hashes of all grams."""
+    w, g = shape.window, shape.gram
     if n < w:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes from here to the end of the piece
     grams = np.full(n + w, _TOP)
-    made = _rolled(data, g)
     grams[: len(made)] = made
     grams[:n][left < g] = _TOP
     least = _slide(grams, shape.reach + 1, np.minimum)[:n]
@@ -144,14 +164,22 @@ def found_anchors(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[
     for group in _pieces(offsets, shape.window - 1):
         cut = np.concatenate([data[a:b] for _, a, b in group])
         edges = np.cumsum([0, *(b - a for _, a, b in group)])
-        at, gram = anchors(cut, edges, shape)
+        made, around = _rolled(cut, [shape.gram, shape.context])
+        at, gram = anchors(made, len(cut), edges, shape)
         piece = np.searchsorted(edges, at, side="right") - 1
+        inside = (at - shape.reach >= edges[piece]) & (at + shape.gram + shape.reach <= edges[piece + 1])
+        hashed = np.empty(len(at), np.uint64)
+        hashed[inside] = around[at[inside] - shape.reach]
         text = np.array([i for i, _, _ in group])[piece]
         at = at - edges[piece] + np.array([a for _, a, _ in group])[piece]
-        for k in range(0, len(at), 1 << 15):
-            t, p = text[k : k + (1 << 15)], at[k : k + (1 << 15)]
-            left, right = _sides(offsets, t, p, shape)
-            hashes.append(_row_hash(contexts(data, offsets, t, p, shape), left * 1000 + right))
+        t, p = text[~inside], at[~inside]  # contexts that reach over the end of their piece
+        left, right = _sides(offsets, t, p, shape)
+        rows = contexts(data, offsets, t, p, shape)
+        whole = (left == shape.reach) & (right == shape.gram + shape.reach)
+        by_row = _row_hash(rows, (left << 32) | right)
+        by_row[whole] = _whole_hash(rows[whole])
+        hashed[~inside] = by_row
+        hashes.append(hashed)
         texts.append(text)
         places.append(at - offsets[text])
         grams.append(gram)
@@ -344,7 +372,7 @@ def _sent(shape: Shape, buckets: int):
 
 def rotations(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A shard's transform: (order, transform). ``order`` are the rotations row * length + start by their first 64 bytes or more; the
-    transform has, for each in that order, the two bytes before it as one symbol."""
+    transform has, for each in that order, the four bytes before it as one symbol."""
     m, length = rows.shape
     start = np.arange(length)
     key = np.zeros((m, length), np.uint64)
@@ -363,25 +391,45 @@ def rotations(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, axis=None)
         depth *= 2
     row, at = order // length, order % length
-    before = (rows[row, (at - 2) % length].astype(np.uint16) << 8) | rows[row, (at - 1) % length]
+    before = np.zeros(len(order), np.uint32)
+    for k in (4, 3, 2, 1):
+        before = (before << np.uint32(8)) | rows[row, (at - k) % length]
     return order, before
 
 
+def _by_symbol(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, symbols in that order), stable. Symbols and places in one number sort much faster than by a list of places."""
+    if len(symbols) >= 1 << 32:
+        order = np.argsort(symbols, kind="stable")
+        return order, symbols[order]
+    both = (symbols.astype(np.uint64) << np.uint64(32)) | np.arange(len(symbols), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32)
+
+
 def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(shards, block): from which shard each rotation of the merged order is, and the block of those that agree in ``depth`` bytes."""
     total = sum(map(len, transforms))
-    shards = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block = np.zeros(total, np.int32)
-    joined = np.concatenate(transforms) if transforms else np.zeros(0, np.uint16)
-    for first in range(0, depth, 2):
-        symbols = np.empty(total, np.uint16)
-        symbols[np.argsort(shards, kind="stable")] = joined  # each shard's transform in its own order
-        if first == 0 and depth % 2:
-            symbols &= 0xFF00  # an odd depth begins with one byte
-        order = np.argsort(symbols, kind="stable")
-        shards, symbols, block = shards[order], symbols[order], block[order]
-        block = np.cumsum(_groups(symbols, block), dtype=np.int32)
-    return shards, block
+    place = np.arange(total, dtype=np.int32 if total < np.iinfo(np.int32).max else np.int64)  # in the joined transforms
+    block = np.zeros_like(place)
+    kind = next(k for k in NUMBERS if len(transforms) <= np.iinfo(k).max)
+    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
+    joined = np.concatenate(transforms) if transforms else np.zeros(0, np.uint32)
+    # Where the rotation four bytes before each lies: in the same shard, by the order of the shard's symbols.
+    before, base = np.empty_like(place), 0
+    for t in transforms:
+        before[_by_symbol(t)[0] + base] = np.arange(base, base + len(t))
+        base += len(t)
+    for first in range(0 if depth % 4 == 0 else depth % 4 - 4, depth, 4):
+        symbols = joined[place]
+        if first < 0:
+            symbols &= np.uint32(0xFFFFFFFF << -8 * first & 0xFFFFFFFF)  # the depth that is left over comes first
+        order, symbols = _by_symbol(symbols)
+        block = np.cumsum(_groups(symbols, block[order]), dtype=place.dtype)
+        place = place[order] if first < 0 else before[place[order]]
+        if first < 0:  # each shard keeps its own order of whole symbols
+            place[np.argsort(shard[place], kind="stable")] = np.arange(total)
+    return shard[place], block
 
 
 def repeated(shards: list[np.ndarray], docs: list[np.ndarray], lefts: list[np.ndarray], rights: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -404,28 +452,51 @@ def repeated(shards: list[np.ndarray], docs: list[np.ndarray], lefts: list[np.nd
     return context[later], start[later]
 
 
+def may_repeat(rows: np.ndarray, doc: np.ndarray, shape: Shape) -> np.ndarray:
+    """Which contexts share the gram and half the reach to one side with another document's context."""
+    half, keep = -(-shape.reach // 2), np.zeros(len(rows), bool)
+    for first, last in ((shape.reach - half, shape.reach + shape.gram), (shape.reach, shape.reach + shape.gram + half)):
+        core = _row_hash(rows[:, first:last], np.zeros(len(rows)))
+        order = np.lexsort((doc, core))
+        new = _groups(core[order])
+        starts = np.flatnonzero(new)
+        several = doc[order][starts] != doc[order][np.append(starts[1:], len(order)) - 1]
+        keep[order] |= several[np.cumsum(new) - 1]
+    return keep
+
+
 def _merged(shape: Shape, buckets: int):
     def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, docs, lefts, rights, owners = [], [], [], [], []
-        known = 0
+        parts = []
         for batch in batches:
             for blob in batch.column("rows").to_pylist():
-                rows, doc, row, place, left, right = _unpack(blob, [f"V{shape.context}", *CONTEXT])
-                wide = np.zeros((len(rows), shape.cyclic), np.uint8)
-                wide[:, : shape.context] = np.frombuffer(rows.tobytes(), np.uint8).reshape(-1, shape.context)
-                # A document's equal contexts are sorted once.
-                name = _row_hash(wide, left * 1000 + right)
-                order = np.lexsort((name, doc))
-                new = _groups(doc[order], name[order])
-                one = order[np.flatnonzero(new)]
-                owner = np.empty(len(rows), np.int64)
-                owner[order] = np.cumsum(new) - 1 + known
-                known += len(one)
-                shards.append(wide[one])
-                docs.append(doc[one])
-                lefts.append(left[one])
-                rights.append(right[one])
-                owners.append((owner, doc, row, place))
+                rows, *columns = _unpack(blob, [f"V{shape.context}", *CONTEXT])
+                parts.append((np.frombuffer(rows.tobytes(), np.uint8).reshape(-1, shape.context), *columns))
+        every = list(map(np.concatenate, zip(*parts, strict=True)))
+        parts.clear()
+        keep = may_repeat(every[0], every[1], shape)
+        every = [c[keep] for c in every]
+        if not keep.any():
+            return
+        shards, docs, lefts, rights, owners = [], [], [], [], []
+        known = 0
+        for begin in range(0, len(every[0]), SHARD):
+            rows, doc, row, place, left, right = (c[begin : begin + SHARD] for c in every)
+            wide = np.zeros((len(rows), shape.cyclic), np.uint8)
+            wide[:, : shape.context] = rows
+            # A document's equal contexts are sorted once.
+            name = _row_hash(wide, (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
+            order = np.lexsort((name, doc))
+            new = _groups(doc[order], name[order])
+            one = order[np.flatnonzero(new)]
+            owner = np.empty(len(rows), np.int64)
+            owner[order] = np.cumsum(new) - 1 + known
+            known += len(one)
+            shards.append(wide[one])
+            docs.append(doc[one])
+            lefts.append(left[one])
+            rights.append(right[one])
+            owners.append((owner, doc, row, place))
         context, start = repeated(shards, docs, lefts, rights, shape)
         order = np.lexsort((start, context))
         context, start = context[order], start[order]

@@ -56,3 +56,22 @@ def test_merged_interleave_is_the_sorted_order(depth):
         prefixes.append(bytes(np.roll(shards[s][row], -start)[:depth]))
     assert prefixes == sorted(prefixes)
     assert all((a == b) == (x == y) for a, b, x, y in zip(prefixes, prefixes[1:], block, block[1:], strict=False))
+
+
+def test_more_shards_than_the_narrow_type_numbers(monkeypatch):
+    """With a narrow type that holds 4 numbers the merge of 9 shards is the same."""
+    rng = np.random.default_rng(3)
+    made = [suffix_dedup.rotations(rng.integers(97, 99, (3, 10)).astype(np.uint8))[1] for _ in range(9)]
+    want = suffix_dedup.interleave(made, 6)
+    widths = []
+    monkeypatch.setattr(np, "iinfo", lambda k, old=np.iinfo: widths.append(k) or (type("Narrow", (), {"max": 4}) if k is np.uint16 else old(k)))
+    got = suffix_dedup.interleave(made, 6)
+    assert np.uint32 in widths and all((a == b).all() for a, b in zip(want, got, strict=True))
+
+
+def test_contexts_left_out_have_no_repeat():
+    """A context stays if it shares the gram and half the reach to either side with another document's."""
+    shape = suffix_dedup.Shape(10)
+    rows = np.frombuffer(b"abcdefGGGGhijklm" b"xxxdefGGGGyyyyyy" b"zzzzzzGGGGhijzzz" b"qqqqqqGGGGqqqqqq", np.uint8).reshape(4, shape.context)
+    assert shape.reach == 6 and suffix_dedup.may_repeat(rows, np.array([1, 2, 3, 4]), shape).tolist() == [True, True, True, False]
+    assert suffix_dedup.may_repeat(rows, np.array([1, 1, 1, 4]), shape).tolist() == [False] * 4
