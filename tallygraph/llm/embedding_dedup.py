@@ -6,10 +6,12 @@ columns without a surviving pair leave the tile, and the axes go on for the othe
 were given, in double precision.
 
 Strips of the first axis bound which tiles meet at all: vectors whose first coordinates differ by more than sqrt(2 - 2 t) cannot reach a cosine of t.
+Strips are cut at quantiles, counted, and a strip that holds too many vectors all the same (one first coordinate may be that of all) is dealt to
+several cells by hash, so a task holds two cells of a bounded size. Each cell knows the range of cells that it meets; no list of pairs exists.
 The rotation is fitted on a bounded sample (``SAMPLE_BYTES``); it only orders the work, any rotation gives the same links.
 
 Equal vectors are one class with a count from the start. No pair is emitted: a task gives each vector's number of links and a spanning forest of
-its links, at most one row a vector for each strip that its own strip meets.
+its links, at most one row a vector for each cell that its own cell meets.
 
 Defined results: a vector that is null, of length 0, zero, or with a null or non-finite component links with nothing and is its own component.
 Vectors of different lengths don't link. Rows that repeat a vec_id are one node and several vectors. A null vec_id links with nothing.
@@ -26,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygraph.llm import scratch
+from tallygraph.llm.kernel import mix64
 from tallygraph.llm.components import components, forest
 from tallygraph.functions.ship import ship
 
 TILE = 1024
-STRIP_BYTES = 32 << 20
+CELL_BYTES = 16 << 20
 #: Fewest strips, so that small inputs use more than one task.
 STRIPS = 6
 SAMPLE_BYTES = 8 << 20
-#: Rounding: bounds are this much wider than the threshold.
-SLACK = 1e-9
+#: Rounding of strips: their reach is this much wider.
+SLACK = 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,19 +57,25 @@ def steps_of(d: int) -> list[int]:
     return [*(1 << k for k in range(3, 20) if 1 << k < d), d]
 
 
+def slack(d: int) -> float:
+    """How much wider than the threshold the bounds are: more than single precision loses in sums of d products."""
+    return (4 * d + 64) * float(np.finfo(np.float32).eps)
+
+
 def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit vectors (rows of a and b) whose cosine is at least ``least``; ra and rb are a and b rotated."""
+    """Index pairs of unit vectors (rows of a and b) whose cosine is at least ``least``; ra and rb are a and b rotated, in single precision."""
     d = ra.shape[1]
     rows, cols = np.arange(len(a)), np.arange(len(b))
-    total, start = np.zeros((len(a), len(b))), 0
+    total, start = np.zeros((len(a), len(b)), ra.dtype), 0
+    floor = ra.dtype.type(least - slack(d))
     for stop in steps_of(d):
         total = total + ra[rows, start:stop] @ rb[cols, start:stop].T
         start = stop
         if stop == d:
-            alive = total >= least - SLACK
+            alive = total >= floor
         else:
             sa, sb = (np.sqrt(np.maximum(np.einsum("ij,ij->i", r[k, stop:], r[k, stop:]), 0)) for r, k in ((ra, rows), (rb, cols)))
-            alive = total + np.multiply.outer(sa, sb) >= least - SLACK
+            alive = total + np.multiply.outer(sa, sb) >= floor
         i, j = np.nonzero(alive)
         if len(i) == 0:
             return i, j
@@ -86,7 +95,7 @@ def _tiles(d: int):
         def tile(rows: pa.Table) -> pa.RecordBatch:
             values = np.ascontiguousarray(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             blobs = [pa.array([rows.column(c).to_numpy().tobytes()], pa.binary()) for c in ("rep", "name", "many")]
-            return pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *blobs, pa.array([values.tobytes()], pa.binary())], ["strip", "ids", "names", "many", "x"])
+            return pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int64()) for k in key[:3]), *blobs, pa.array([values.tobytes()], pa.binary())], ["cell", "lowest", "highest", "ids", "names", "many", "x"])
 
         for batch in batches:
             held.append(batch)
@@ -108,9 +117,9 @@ def _meet(d: int, axes, least: float):
         first, second = key[0].as_py(), key[1].as_py()
         tiles: dict[int, list] = {first: [], second: []}
         for batch in batches:
-            for s, i, name, m, x in zip(*(batch.column(c).to_pylist() for c in ("strip", "ids", "names", "many", "x")), strict=True):
+            for s, i, name, m, x in zip(*(batch.column(c).to_pylist() for c in ("cell", "ids", "names", "many", "x")), strict=True):
                 unit = _unit(np.frombuffer(x).reshape(-1, d))
-                tiles[s].append((np.frombuffer(i, np.int64), np.frombuffer(m, np.int64), unit, unit @ axes.value, np.frombuffer(name, np.int64)))
+                tiles[s].append((np.frombuffer(i, np.int64), np.frombuffer(m, np.int64), unit, (unit @ axes.value).astype(np.float32), np.frombuffer(name, np.int64)))
         reach = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
         total = {s: [np.zeros(len(t[0]), np.int64) for t in tiles[s]] for s in tiles}
         us, vs, pending = [], [], 0
@@ -154,27 +163,50 @@ def _found(classes: DataFrame, d: int, least: float) -> DataFrame:
     unit = _unit(np.array(some.x.tolist()))
     axes = axes_of(unit)
     shared = spark.sparkContext.broadcast(axes)
-    strips = max(min(STRIPS, -(-count // TILE)), -(-count * d * 8 // STRIP_BYTES))
+    strips = max(min(STRIPS, -(-count // TILE)), -(-count * d * 8 // CELL_BYTES))
     cuts = np.quantile(unit @ axes[:, 0], np.arange(1, strips) / strips)
     lead = spark.sparkContext.broadcast((axes[:, 0], cuts))
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strips_of(batch: pa.RecordBatch) -> np.ndarray:
         axis, at = lead.value
+        x = np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+        return np.searchsorted(at, _unit(x) @ axis if len(x) else np.zeros(0))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strip, n = np.unique(strips_of(batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(strip), pa.array(n)], ["strip", "n"])
+
+    counts = np.zeros(strips, np.int64)
+    for strip, n in rows.select("x").mapInArrow(counted, "strip long, n long").groupBy("strip").agg(F.sum("n")).collect():  # a row for each CELL_BYTES of vectors
+        counts[strip] = n
+    cells = spark.sparkContext.broadcast(cells_of(counts * d * 8, cuts, math.sqrt(max(0.0, 2 - 2 * least)) + SLACK))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, parts, lowest, highest = cells.value
         for batch in batches:
-            x = np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-            y = _unit(x) @ axis if len(x) else np.zeros(0)
-            strip = np.searchsorted(at, y).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "name", "many", "x")), pa.array(strip)], ["rep", "name", "many", "x", "strip"])
-
-    ordered = rows.select("rep", "name", "many", "x").mapInArrow(placed, "rep long, name long, many long, x array<double>, strip int")
-    # A strip is cut further when many vectors share one first coordinate: its tiles are spread, not sorted in one task.
-    tiles = scratch.stage(ordered.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(4))).groupBy("strip", "part").applyInArrow(_tiles(d), "strip int, ids binary, names binary, many binary, x binary"), "tiles")
-    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+            strip = strips_of(batch)
+            rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.uint64)
+            cell = base[strip] + (mix64(rep, 4) % parts[strip].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "name", "many", "x")), pa.array(cell), pa.array(lowest[strip]), pa.array(highest[strip])], ["rep", "name", "many", "x", "cell", "lowest", "highest"])
+
+    dealt = rows.select("rep", "name", "many", "x").mapInArrow(placed, "rep long, name long, many long, x array<double>, cell long, lowest long, highest long")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(4)))  # a cell's tiles are packed by four tasks
+    tiles = scratch.stage(dealt.groupBy("cell", "lowest", "highest", "part").applyInArrow(_tiles(d), "cell long, lowest long, highest long, ids binary, names binary, many binary, x binary"), "tiles")
+    here = F.col("cell")
+    meet = F.transform(F.sequence("lowest", "highest"), lambda j: F.struct(F.least(here, j).alias("a"), F.greatest(here, j).alias("b")))
+    sent = tiles.withColumn("m", F.explode(meet)).select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), "cell", "ids", "names", "many", "x")
+    return sent.groupBy("a", "b").applyInArrow(_meet(d, shared, least), "u long, name long, n long, v long")
+
+
+def cells_of(volumes: np.ndarray, cuts: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(base, parts, lowest, highest) of each strip: its cells are base to base + parts - 1, and they meet the cells lowest to highest."""
+    parts = np.maximum(1, -(-volumes // CELL_BYTES))
+    base = np.cumsum(parts) - parts
     low, high = np.append(-np.inf, cuts), np.append(cuts, np.inf)
-    meets = [(int(i), int(j)) for i in range(strips) for j in range(i, strips) if low[j] - high[i] <= reach]
-    pairs = spark.createDataFrame(meets, "a int, b int")
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
-    return tiles.join(F.broadcast(sides), "strip").groupBy("a", "b").applyInArrow(_meet(d, shared, least), "u long, name long, n long, v long")
+    first = np.searchsorted(high, low - reach)  # the first strip that ends within reach
+    last = np.searchsorted(low, high + reach, side="right") - 1
+    return base, parts, base[first], base[last] + parts[last] - 1
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:

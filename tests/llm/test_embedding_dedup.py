@@ -49,3 +49,28 @@ def test_tiles_stop_early_without_losing_a_pair():
 
 def test_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_one_strip_of_all_vectors(spark, monkeypatch):
+    """All vectors have the same first coordinate: one strip, dealt to many cells."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    monkeypatch.setattr(embedding_dedup, "CELL_BYTES", 1024)
+    monkeypatch.setattr(embedding_dedup, "axes_of", lambda sample: np.eye(sample.shape[1]))
+    rng = np.random.default_rng(8)
+    tails = rng.normal(size=(120, 5))
+    tails[::3] = tails[1::3] + rng.normal(size=(40, 5)) * 0.2
+    rows = [(i, [0.5, *(t / np.sqrt(t @ t) * np.sqrt(0.75)).tolist()]) for i, t in enumerate(tails)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df, 0.9).collect()), key=str)
+    assert got == brute(rows, 0.9)
+
+
+def test_cells_meet_all_within_reach(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_BYTES", 10)
+    cuts = np.array([-0.5, 0.0, 0.0, 0.4])
+    made = embedding_dedup.cells_of(np.array([5, 0, 35, 10, 11]), cuts, 0.45)
+    base, parts, lowest, highest = made
+    assert base.tolist() == [0, 1, 2, 6, 7] and parts.tolist() == [1, 1, 4, 1, 2]
+    low, high = [-9, *cuts], [*cuts, 9]
+    meet = [[lowest[i] <= base[j] and base[j] + parts[j] - 1 <= highest[i] for j in range(5)] for i in range(5)]
+    assert all(meet[i][j] == meet[j][i] == (low[j] - high[i] <= 0.45 and low[i] - high[j] <= 0.45) for i in range(5) for j in range(5))
