@@ -391,6 +391,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    found = contaminated(docs, benchmark, similarity).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated ones. Rows that share a doc_id go together; rows without one are told apart by their texts."""
+    by_text = F.concat_ws("-", F.lit("text"), F.xxhash64("text"), F.xxhash64(F.lit(3), "text"))
+    key = F.coalesce(F.concat(F.lit("id-"), F.col("doc_id").cast("string")), by_text)
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)

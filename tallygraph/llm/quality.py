@@ -3,10 +3,12 @@
 Two dictionaries are trained, one on text labelled good and one on text labelled bad. A text is compressed with each; the
 difference of the sizes over their sum says which of the two it resembles, and their mean over the length how much the text repeats
 itself. These two, the latter's square, and their products with the logarithm of the length become a probability by logistic
-regression on labelled documents that no dictionary has seen.
+regression on labelled documents that the dictionaries used have not seen.
 
 Fitting takes a bounded sample of the labelled training rows: the ``PER_CLASS`` documents of each label with the smallest hash
-of their doc_id, half of them for the dictionaries and half for the calibration. Labels, lang, source and doc_id are no inputs of
+of their doc_id, half of them for the dictionaries and half for the calibration. With fewer than ``FEW`` documents of a class halves would teach too
+little: then the dictionaries learn from all, and each fold is calibrated with its sizes by dictionaries of the other folds. The ridge of
+the calibration is the one with the smallest loss on left-out folds. The log-odds are then moved from the sample's shares of the classes to those of all labels outside the held-out fold. Labels, lang, source and doc_id are no inputs of
 a score. The held-out fold (crc32 of doc_id as text, mod 3, equal to 1) is never learned from. Whole texts are learned from and scored.
 
 Defined results: a null or empty text scores as the calibration has it for length 0, always the same. When one class has no
@@ -32,6 +34,9 @@ PER_CLASS = 1500
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 FEATURES = 6
+FOLDS, FEW = 4, 200
+#: Strengths of the ridge that are tried, on standardised features.
+RIDGES = (0.01, 0.1, 1.0, 10.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,18 +76,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method with a small ridge; the classes weigh as they are in ``y``."""
-    x = np.column_stack((np.ones(len(x)), x))
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-12)
-    x, w = x / scale, np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Newton's method on standardised features with a ridge on all weights but the first; the classes weigh as they are in ``y``."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
+    x = np.column_stack((np.ones(len(x)), (x - mean) / spread))
+    pull, w = ridge * np.diag([1e-6, *np.ones(x.shape[1] - 1)]), np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull + 1e-9 * np.eye(len(w)), x.T @ (y - p) - pull @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return w / scale
+    w = np.append(w[0] - (w[1:] * mean / spread).sum(), w[1:] / spread)
+    return w
+
+
+def _loss(x: np.ndarray, y: np.ndarray, fold: np.ndarray, ridge: float) -> float:
+    total = 0.0
+    for k in np.unique(fold):
+        w = _logistic(x[fold != k], y[fold != k], ridge)
+        z = np.clip(x[fold == k] @ w[1:] + w[0], -30, 30)
+        total += float(np.log1p(np.exp(np.where(y[fold == k] > 0, -z, z))).sum())
+    return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -101,15 +116,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return Model(b"", b"", (0.0,) * (FEATURES + 1))
     if marks.min() == marks.max():
         return Model(b"", b"", (30.0 if marks[0] else -30.0, *(0.0,) * FEATURES))
-    half = np.zeros(len(rows), bool)
-    for label in (0.0, 1.0):
+    dictionaries = lambda use: Model(*(_dictionary([t for t, u, m in zip(texts, use, marks, strict=True) if u and m == label]) for label in (1, 0)), ())
+    half, fold, every = np.zeros(len(rows), bool), np.zeros(len(rows), int), np.ones(len(rows), bool)
+    fewest = min(int((marks == label).sum()) for label in (0, 1))
+    for label in (0, 1):
         at = np.flatnonzero(marks == label)
-        half[at[:: 2] if len(at) > 1 else at] = True
-    made = Model(_dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and m]), _dictionary([t for t, h, m in zip(texts, half, marks, strict=True) if h and not m]), ())
-    rest = ~half if len(set(marks[~half])) == 2 else half | True
-    features = made.scorer()
-    x = np.array([features(t) for t, r in zip(texts, rest, strict=True) if r])
-    return Model(made.good, made.bad, tuple(map(float, _logistic(x, marks[rest]))))
+        half[at[::2]] = True
+        fold[at] = np.arange(len(at)) // (2 if fewest >= FEW else 1) % FOLDS
+    x, rest = np.zeros((len(rows), FEATURES)), ~half if fewest >= FEW else every
+    made = dictionaries(half if fewest >= FEW else every)
+    for k in range(FOLDS):
+        # A class of one document can't be left out; it is then calibrated by itself.
+        features = made.scorer() if fewest >= FEW else dictionaries((fold != k) | (fewest < 2)).scorer()
+        for i in np.flatnonzero((fold == k) & rest):
+            x[i] = features(texts[i])
+    x, y, fold = x[rest], marks[rest], fold[rest]
+    ridge = min(RIDGES, key=lambda r: _loss(x, y, fold, r)) if fewest >= 2 else RIDGES[-1]
+    weights = _logistic(x, y, ridge)
+    # The sample holds other shares of the classes than the labels do; that moves the log-odds by a constant.
+    there = dict(known.groupBy("quality").count().collect())  # two rows
+    weights[0] += math.log(there[1] / (y == 1).sum()) - math.log(there[0] / (y == 0).sum())
+    return Model(made.good, made.bad, tuple(map(float, weights)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

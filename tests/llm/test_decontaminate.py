@@ -81,3 +81,13 @@ def test_distances_against_the_plain_recursion():
         table = np.zeros((1, 9), np.uint64)
         table[0, : len(a)] = a
         assert decontaminate.distances(table, np.array([len(a)]), np.array([t], np.uint64))[0] == distance(a, t)
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    """Of two rows without doc_id only the one that holds the item goes; nulls and empty texts stay; columns of any name are kept."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(None, f"x y {item} z", "a"), (None, "nothing of this is in it", "b"), (None, None, "c"), (1, item.upper(), "d"), (2, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    kept = decontaminate.remove_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == ["b", "c", "e"]
+    assert decontaminate.remove_contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 5
