@@ -1,10 +1,14 @@
-"""Exact counts: degree closed forms where there are any, else symmetry-broken joins that Catalyst orders and adaptive execution balances."""
+"""Exact counts: closed forms over degrees, triangles and 4-cycles where there are any, else symmetry-broken joins that Catalyst orders and adaptive
+execution balances. Triangles and 4-cycles come from edges ordered by degree, so hubs make no quadratic join."""
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygraph.plans import pattern as patterns
 from tallygraph.plans.graph import Graph
 from tallygraph.plans.pattern import Pattern
 
@@ -31,8 +35,8 @@ def wedges(graph: Graph, name: str = "wedges") -> DataFrame:
     return graph.degrees.agg(F.coalesce(F.sum(F.expr("deg * (deg - 1) div 2")), F.lit(0)).cast("long").alias(name))
 
 
-def triangles_of(graph: Graph) -> DataFrame:
-    """(a, b, c) with a < b < c, and the weights of ab, ac, bc if there are any.
+def _fans(graph: Graph) -> DataFrame:
+    """(x, y1, y2): triangles with y1 < y2, x being the first by degree, and the weights w1 (x-y1), w2 (x-y2), w3 (y1-y2) if there are any.
 
     Edges are pointed from the end of smaller degree to the other, so that no vertex has more than sqrt(2 m) out-edges and a hub makes no quadratic join."""
     d = graph.degrees
@@ -44,7 +48,12 @@ def triangles_of(graph: Graph) -> DataFrame:
     second = out.select("x", F.col("y").alias("y2"), *(F.col(w).alias("w2") for w in weight))
     paired = first.join(second, "x").where("y1 < y2")
     third = graph.edges.select(F.col("src").alias("y1"), F.col("dst").alias("y2"), *(F.col(w).alias("w3") for w in weight))
-    closed = paired.join(third, ["y1", "y2"])
+    return paired.join(third, ["y1", "y2"])
+
+
+def triangles_of(graph: Graph) -> DataFrame:
+    """(a, b, c) with a < b < c, and the weights of ab, ac, bc if there are any."""
+    weight, closed = graph.weighted, _fans(graph)
     a, c = F.least("x", "y1", "y2").alias("a"), F.greatest("x", "y1", "y2").alias("c")
     b = (F.col("x") + F.col("y1") + F.col("y2") - F.least("x", "y1", "y2") - F.greatest("x", "y1", "y2")).alias("b")
     if not weight:
@@ -103,15 +112,78 @@ def matches(graph: Graph, pattern: Pattern) -> DataFrame:
     return rows.select(*(f"v{i}" for i in range(k)))
 
 
+def _ends(graph: Graph) -> DataFrame:
+    """(src, dst, ds, dd): edges with the degrees of their ends."""
+    d = graph.degrees
+    return graph.edges.select("src", "dst").join(d.select(F.col("u").alias("src"), F.col("deg").alias("ds")), "src").join(d.select(F.col("u").alias("dst"), F.col("deg").alias("dd")), "dst")
+
+
+def cycle_wedges(graph: Graph) -> DataFrame:
+    """(v, u, w, k): paths v - u - w of which v comes last by (degree, id), and the number k of such paths from v to w.
+
+    Two of them with the same ends are a 4-cycle, and each 4-cycle is found once so: at its last vertex."""
+    ends = _ends(graph)
+    both = ends.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.struct("dd", "dst").alias("rank")).unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("w"), F.struct(F.col("ds").alias("dd"), F.col("src").alias("dst")).alias("rank")))
+    low, high = F.struct(F.col("ds").alias("d"), F.col("src").alias("id")), F.struct(F.col("dd").alias("d"), F.col("dst").alias("id"))
+    down = ends.select(F.when(low < high, F.col("src")).otherwise(F.col("dst")).alias("u"), F.greatest(low, high).alias("last"))
+    paths = down.join(both, "u").where(F.struct(F.col("rank.dd").alias("d"), F.col("rank.dst").alias("id")) < F.col("last")).select(F.col("last.id").alias("v"), "u", "w")
+    return paths.join(paths.groupBy("v", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), ["v", "w"])
+
+
+def _total(column: Column | str) -> Column:
+    return F.coalesce(F.sum((F.expr(column) if isinstance(column, str) else column).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+
+
+def four_cycles(graph: Graph, name: str = "four_cycles") -> DataFrame:
+    """Every path of ``cycle_wedges`` pairs with the other k - 1 of its ends."""
+    return cycle_wedges(graph).agg((_total("k - 1") / 2).cast("long").alias(name))
+
+
+def four_cliques(graph: Graph, name: str = "four_cliques") -> DataFrame:
+    """Two triangles on an edge that leaves the clique's first vertex by degree, closed by the edge between their tips."""
+    fans = _fans(Graph(graph.edges.drop("weight")))
+    other = fans.select("x", "y1", F.col("y2").alias("y3"))
+    edges = graph.edges.select(F.col("src").alias("y2"), F.col("dst").alias("y3"))
+    return fans.join(other, ["x", "y1"]).where("y2 < y3").join(edges, ["y2", "y3"]).agg(F.count(F.lit(1)).alias(name))
+
+
+def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
+    """Pairs of extensions of each middle vertex's two neighbours, less those that meet: in the other neighbour (triangles) or in one vertex (4-cycles)."""
+    near = graph.directed.select("u", "v").join(graph.degrees.select(F.col("u").alias("v"), (F.col("deg") - 1).cast("decimal(19,0)").alias("more")), "v")
+    sums = near.groupBy("u").agg(F.sum("more").cast("decimal(19,0)").alias("s"), F.sum(F.col("more") * F.col("more")).cast("decimal(38,0)").alias("q"))
+    pairs = sums.agg((_total((F.col("s") * F.col("s")).cast("decimal(38,0)") - F.col("q")) / 2).cast("decimal(38,0)").alias("pairs"))
+    inner = triangles_per_vertex(graph).join(graph.degrees.withColumnRenamed("u", "v"), "v").agg(_total("triangles * (2 * deg - 3)").alias("inner"))
+    # one row each
+    return pairs.crossJoin(inner).crossJoin(four_cycles(graph, "cycles")).select((F.col("pairs") - F.col("inner") - 4 * F.col("cycles")).cast("long").alias(name))
+
+
+def five_houses(graph: Graph, name: str = "five_houses") -> DataFrame:
+    """Over all edges the triangles times the 4-cycles on them, less the pairs in which the roof is a corner of the square."""
+    edge = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    tri = triangles_of(Graph(graph.edges.drop("weight"))).select(F.explode(F.array(edge("a", "b"), edge("a", "c"), edge("b", "c"))).alias("e"))
+    tri = tri.groupBy("e").agg(F.count(F.lit(1)).alias("t"))
+    squares = cycle_wedges(graph).select("k", F.explode(F.array(edge("v", "u"), edge("u", "w"))).alias("e")).groupBy("e").agg(F.sum(F.col("k") - 1).alias("c"))
+    found = tri.join(squares, "e", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return found.agg((_total("t * c - 2 * t * t + 2 * t")).cast("long").alias(name))  # each triangle is on three edges: 6 a triangle
+
+
+def same(pattern: Pattern, other: Pattern) -> bool:
+    """Whether two patterns of few vertices are the same but for the names of the vertices."""
+    if pattern.size != other.size or len(pattern.edges) != len(other.edges):
+        return False
+    there = {frozenset(e) for e in other.edges}
+    return any({frozenset((p[a], p[b])) for a, b in pattern.edges} == there for p in permutations(range(pattern.size)))
+
+
 def count(graph: Graph, pattern: Pattern, name: str = "instances") -> DataFrame:
-    """Non-induced instances: by a closed form for stars and 4-chains, else by joins."""
+    """Non-induced instances: by a closed form where there is one, else by joins."""
     degrees = sorted(sum(v in e for e in pattern.edges) for v in range(pattern.size))
     if pattern.size >= 3 and degrees == [1] * (pattern.size - 1) + [pattern.size - 1]:
         return stars(graph, pattern.size, name)
-    if degrees == [1, 1, 2, 2] and len(pattern.edges) == 3:
-        return four_chains(graph, name)
-    if degrees == [2, 2, 2]:
-        return triangles(graph, name)
+    known = ((patterns.TRIANGLE, triangles), (patterns.FOUR_CHAIN, four_chains), (patterns.cycle(4), four_cycles), (patterns.FOUR_CLIQUE, four_cliques), (patterns.FIVE_CHAIN, five_chains), (patterns.HOUSE, five_houses))
+    for other, closed in known if pattern.size <= 5 else ():
+        if same(pattern, other):
+            return closed(graph, name)
     return matches(graph, pattern).agg(F.count(F.lit(1)).alias(name))
 
 

@@ -23,7 +23,7 @@ def test_every_sql_has_a_query():
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).first()[0] == 1514
+    assert __spark_entry__.entry(spark).first()[0] == 125_968
 
 
 @pytest.mark.parametrize("name", CHECKED)
