@@ -247,7 +247,7 @@ def exact_five_chain(spark, sf_dir):
     return exact.count(cp(spark, sf_dir, weighted=False), pattern.FIVE_CHAIN, "five_chains")
 
 
-@query("exact_four_clique", f"{T} SELECT count(*) AS four_cliques FROM ({TRIANGLES}) t JOIN e x ON x.src = c JOIN e y ON y.src = a AND y.dst = x.dst JOIN e z ON z.src = b AND z.dst = x.dst")
+@query("exact_four_clique", f"{T}, t AS MATERIALIZED ({TRIANGLES}) SELECT count(*) AS four_cliques FROM t x JOIN t y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN e ON e.src = x.c AND e.dst = y.c")
 def exact_four_clique(spark, sf_dir):
     return exact.count(cp(spark, sf_dir, weighted=False), pattern.FOUR_CLIQUE, "four_cliques")
 
