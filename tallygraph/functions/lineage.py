@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine's own is used only where none is set and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or tempfile.mkdtemp(prefix="tallygraph-")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files in ``spark.checkpoint.dir``, so that a lost executor or a long plan costs one step. A folder of this machine's own is used only
-    where none is set and the master is local."""
+    """``df`` from files in ``spark.checkpoint.dir``, so that a lost executor or a long plan costs one step."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallygraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,13 @@ from tallygraph.functions import ranks, rng
 from tallygraph.plans.graph import Graph
 
 LEAST, MOST = 10, 10_000
-# Upper quantiles of the standard normal distribution.
-QUANTILES = {0.1: 1.282, 0.05: 1.645, 0.025: 1.96, 0.01: 2.326, 0.005: 2.576}
+
+
+def normal_quantile(alpha: float) -> float:
+    """What a standard normal number exceeds with probability alpha / 2, to three decimals."""
+    if not 0 < alpha < 1:
+        raise ValueError(f"alpha must be between 0 and 1, not {alpha}")
+    return round(NormalDist().inv_cdf(1 - alpha / 2), 3)
 
 
 def allocation(storages: int, balls: int, replicates: int, seed: int, spark) -> DataFrame:
@@ -23,12 +29,19 @@ def allocation(storages: int, balls: int, replicates: int, seed: int, spark) ->
     return drawn.groupBy("rep", rng.below(storages, seed, "rep", "ball").alias("storage")).agg(F.count(F.lit(1)).alias("m"))
 
 
-def sampled_vertices(graph: Graph, m: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, v): m vertices without replacement for each replicate; all of them where there are fewer.
+def sampled_vertices(graph: Graph, m: int, replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """(rep, v): m vertices without replacement for each replicate from ``first`` on; all of them where there are fewer.
 
-    The m smallest draws of a replicate are found among those below a cut that keeps about twice as many, or all when that is too few."""
-    reps = graph.edges.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    drawn = graph.vertices().join(F.broadcast(reps)).withColumn("r", rng.draw(seed, "rep", "v"))  # a row a replicate
+    The m smallest draws of a replicate are found among those below a cut that keeps about twice as many. So a replicate's task ranks about 2 m rows, not all
+    vertices. A count tells whether every replicate has m draws below the cut; if not, which is rare, all are ranked."""
+    reps = graph.edges.sparkSession.range(first, first + replicates).withColumnRenamed("id", "rep")
+    vertices = graph.vertices()
+    drawn = vertices.join(F.broadcast(reps)).withColumn("r", rng.draw(seed, "rep", "v"))  # a row a replicate
+    total, likely = vertices.count(), 2 * m + 40
+    if likely < total:
+        below = drawn.where(F.col("r") < F.lit(rng.SPAN * likely // total))
+        if below.groupBy("rep").count().where(F.col("count") >= m).count() == replicates:
+            drawn = below
     return drawn.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("r", "v"))).where(F.col("n") <= m).select("rep", "v")
 
 
@@ -94,18 +107,26 @@ SIZES = {"edges": 2, "triangle": 3, "wedge": 3, "three_motif": 3, "four_chain":
 COUNTS = {"edges": found_edges, "triangle": found_triangles, "wedge": found_wedges, "three_motif": found_three_motifs, "four_chain": found_four_chains, "five_star": found_five_stars}
 
 
-def estimates(graph: Graph, task: str, m: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, found, estimate): the count in each replicate's induced subgraph over (m / V) to the pattern's number of vertices."""
+def estimates(graph: Graph, task: str, m: int, replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """(rep, found, estimate) for each replicate from ``first`` on: the count in each replicate's induced subgraph over (m / V) to the pattern's number of vertices."""
     total = graph.vertices().count()
     part = min(1.0, m / total) if total else 1.0
-    reps = graph.edges.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    found = COUNTS[task](induced(graph, sampled_vertices(graph, m, replicates, seed)))
+    reps = graph.edges.sparkSession.range(first, first + replicates).withColumnRenamed("id", "rep")
+    found = COUNTS[task](induced(graph, sampled_vertices(graph, m, replicates, seed, first)))
     return reps.join(found, "rep", "left").select("rep", F.coalesce("found", F.lit(0)).alias("found"), F.round(F.coalesce("found", F.lit(0)) / F.lit(part ** SIZES[task]), 3).alias("estimate"))
 
 
+def drawn_in_batches(graph: Graph, task: str, m: int, seed: int, batch: int = LEAST, most: int = MOST) -> Iterator[float]:
+    """The estimates of replicate after replicate, at most ``most``. A batch is drawn when its first one is asked for, so a stopping rule that reads this
+    draws no batch that it does not need: ``interval_stop(drawn_in_batches(...))``."""
+    for first in range(0, most, batch):
+        rows = estimates(graph, task, m, min(batch, most - first), seed, first).orderBy("rep").select("estimate").collect()  # a number a replicate
+        yield from (row.estimate for row in rows)
+
+
 def interval_rule(values: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(t, mean, sd, stop): after each replicate, whether the normal interval is within delta of the mean (and t is at least LEAST)."""
-    z = QUANTILES.get(alpha / 2, 1.0)
+    z = normal_quantile(alpha)
     upto = Window.orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # MOST rows
     v = values.where(F.col("rep") < MOST)
     v = v.select("rep", F.count(F.lit(1)).over(upto).alias("t"), F.avg("estimate").over(upto).alias("mean"), F.stddev_pop("estimate").over(upto).alias("sd"))
@@ -115,7 +136,7 @@ def interval_rule(values: DataFrame, alpha: float = 0.05, delta: float = 0.05) -
 
 def interval_stop(values: Iterable[float], alpha: float = 0.05, delta: float = 0.05) -> tuple[int, float]:
     """(t, mean) when the rule stops, or at the last value."""
-    z, n, mean, m2 = QUANTILES.get(alpha / 2, 1.0), 0, 0.0, 0.0
+    z, n, mean, m2 = normal_quantile(alpha), 0, 0.0, 0.0
     for x in values:
         n += 1
         step = x - mean

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygraph.functions import rng
+from tallygraph.functions import lineage, rng
 from tallygraph.operators import estimators, exact, profiles, sampling, vertex_sampling
 from tallygraph.plans import derive, graph, pattern
 from tallygraph.plans.graph import Graph
@@ -591,6 +591,15 @@ def ie_stop(spark, sf_dir):
     return vertex_sampling.interval_rule(found, 0.05, 0.1).select("t", F.round("mean", 1).alias("mean"), "stop")
 
 
+@query("stop_in_batches", f"""{VERTEX}, {_estimated('wedge')}, x AS (SELECT rep + 1 AS t, avg(estimate) OVER o AS mean, stddev_pop(estimate) OVER o AS sd FROM est WINDOW o AS (ORDER BY rep))
+SELECT t, round(mean, 1) AS mean FROM x WHERE t >= 10 AND mean > 0 AND 1.96::DOUBLE * sd <= 0.2::DOUBLE * sqrt(t) * mean OR t = {REPS} ORDER BY t LIMIT 1""")
+def stop_in_batches(spark, sf_dir):
+    """Batches of replicates are drawn until the interval is narrow enough, or REPS are."""
+    drawn = vertex_sampling.drawn_in_batches(cp(spark, sf_dir, weighted=False), "wedge", DRAWN, 67, 10, REPS)
+    t, mean = vertex_sampling.interval_stop(drawn, 0.05, 0.2)
+    return spark.createDataFrame([(t, round(mean, 1))], "t long, mean double")
+
+
 @query("eb_stop")
 def eb_stop(spark, sf_dir):
     """Empirical Bernstein stopping is a loop over replicates; at most REPS numbers reach the driver."""
@@ -619,10 +628,7 @@ def canonical_orders(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='tallygraph-')}/formats-{uuid.uuid4().hex}"
+    return f"{lineage.shared_folder(spark)}/formats-{uuid.uuid4().hex}"
 
 
 @query("edgelist_roundtrip", f"{T} SELECT src, dst, weight FROM e")
@@ -643,7 +649,22 @@ def biedgelist_roundtrip(spark, sf_dir):
 def partition_files_roundtrip(spark, sf_dir):
     g, path = cp(spark, sf_dir, weighted=False), _folder(spark)
     text.write_partitions(g.edges, path, 4, 1 + (g.edges.agg(F.max("dst")).first()[0] or 0))
-    return spark.read.text(path).select(F.split("value", " ")[0].cast("long").alias("u"), F.split("value", " ")[1].cast("long").alias("v"))
+    return text.read_partitions(spark, path).select("u", "v")
+
+
+@query("edgelist_header_check", f"{T} SELECT (SELECT count(*) FROM d) AS vertices, count(*) AS edges, count(*) AS rows, true AS agrees FROM e")
+def edgelist_header_check(spark, sf_dir):
+    g, path = cp(spark, sf_dir, weighted=False), _folder(spark)
+    text.write_edgelist(g.edges, path, g.degrees.count())
+    return text.check_header(spark, path)
+
+
+@query("snap_roundtrip", f"{T} SELECT src, dst FROM e")
+def snap_roundtrip(spark, sf_dir):
+    g, path = cp(spark, sf_dir, weighted=False), _folder(spark)
+    comment = spark.range(1).select(F.lit("# FromNodeId ToNodeId").alias("value"))
+    comment.union(g.edges.select(F.concat_ws("\t", "src", "dst").alias("value"))).write.text(path)
+    return text.read_snap(spark, path)
 
 
 @query("meta_roundtrip", f"{T} SELECT count(*) AS num_vertices FROM d")

@@ -38,6 +38,28 @@ def test_meta_snap_and_partitions(spark, tmp_path):
     assert sorted(map(tuple, text.read_partitions(spark, str(tmp_path / "p")).collect())) == [(0, 1, "0"), (0, 2, "0"), (5, 0, "1")]
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_partition_files_are_read_as_written(spark, tmp_path, slices):
+    edges = [(i, (i * 7 + 3) % 40) for i in range(40)]
+    text.write_partitions(spark.createDataFrame(edges, "src long, dst long"), str(tmp_path / "p"), 4, 40, slices)
+    want = {(a, b) for x, y in edges for a, b in ((x, y), (y, x)) if a != b}
+    rows = text.read_partitions(spark, str(tmp_path / "p")).collect()
+    assert sorted((r.u, r.v) for r in rows) == sorted(want)
+    assert {(r.u // 10, r.file.split("/")[0]) for r in rows} == {(k, f"part={k}") for k in range(4)}
+    for file in (tmp_path / "p").rglob("*.txt"):
+        lines = [tuple(map(int, x.split())) for x in file.read_text().splitlines()]
+        assert lines[0] == (40, len(lines) - 1) and lines[1:] == sorted(lines[1:])
+
+
+def test_header_check(spark, tmp_path):
+    (tmp_path / "good").write_text("5 2\n0 1\n3 4\n")
+    (tmp_path / "bad").write_text("5 3\n0 1\n3 4\n")
+    (tmp_path / "none").write_text("")
+    assert tuple(text.check_header(spark, str(tmp_path / "good")).first()) == (5, 2, 2, True)
+    assert tuple(text.check_header(spark, str(tmp_path / "bad")).first()) == (5, 3, 2, False)
+    assert tuple(text.check_header(spark, str(tmp_path / "none")).first()) == (None, None, 0, False)
+
+
 def test_generator(spark):
     g = generators.random_graph(spark, 10, 1000, 4)
     assert g.count() == 45 and generators.duplicates(g).count() == 0

@@ -50,3 +50,27 @@ def test_interval_rule_agrees_with_the_loop(spark):
     df = spark.createDataFrame(list(enumerate(values)), "rep long, estimate double")
     first = vertex_sampling.interval_rule(df).where("stop").agg(F.min("t")).first()[0]
     assert first == vertex_sampling.interval_stop(values)[0]
+
+
+def test_quantiles_of_any_alpha():
+    assert [vertex_sampling.normal_quantile(a) for a in (0.2, 0.1, 0.05, 0.02, 0.01)] == [1.282, 1.645, 1.96, 2.326, 2.576]
+    assert vertex_sampling.normal_quantile(0.03) == 2.17
+    with pytest.raises(ValueError):
+        vertex_sampling.normal_quantile(0)
+
+
+def test_the_cut_keeps_the_smallest_draws(spark):
+    """Against a rank of all draws, with a cut and with too few vertices for one."""
+    from tallygraph.functions import rng
+
+    g = Graph.from_edges(spark.createDataFrame([(i, i + 1) for i in range(500)], "src long, dst long")).persist()
+    for m in (5, 100, 480):
+        got = vertex_sampling.sampled_vertices(g, m, 4, 9, first=2).collect()
+        drawn = g.vertices().crossJoin(spark.range(2, 6).withColumnRenamed("id", "rep")).select("rep", "v", rng.draw(9, "rep", "v").alias("r")).collect()
+        want = {(rep, v) for rep in range(2, 6) for _, v in sorted((x.r, x.v) for x in drawn if x.rep == rep)[:m]}
+        assert {(x.rep, x.v) for x in got} == want and len(got) == 4 * m
+
+
+def test_batches_are_the_replicates_in_order(medium):
+    whole = [r.estimate for r in vertex_sampling.estimates(medium, "wedge", 12, 13, 3).orderBy("rep").collect()]
+    assert list(vertex_sampling.drawn_in_batches(medium, "wedge", 12, 3, 5, 13)) == whole
