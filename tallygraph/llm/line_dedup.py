@@ -91,18 +91,19 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, batches: int = BATCHES) -> D
     docs = docs.drop(*fresh)
     lines = lines_of(F.col("text"))
     r1, r2 = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(3), "doc_id", "text")
-    seen = docs.select("doc_id", "text").select(r1.alias("r1"), r2.alias("r2"), F.posexplode(F.transform(lines, line_key)).alias("at", "key")).where("key <> ''")
+    # The hashes come before the lines are dealt out, or each line would carry its text and hash it again.
+    marked = docs.select(r1.alias("r1"), r2.alias("r2"), F.transform(lines, line_key).alias("keys"))
+    seen = marked.select("r1", "r2", F.posexplode("keys").alias("at", "key")).where("key <> ''")
     seen = seen.select("r1", "r2", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     if settled.count() <= BROADCAST_KEYS:
         settled = F.broadcast(settled)
     gone = seen.join(settled, ["h1", "h2"]).groupBy("r1", "r2").agg(F.collect_set("at").alias("gone"))
     rows = docs.withColumn("__r1", r1).withColumn("__r2", r2)
-    rows = rows.join(gone.withColumnsRenamed({"r1": "__r1", "r2": "__r2", "gone": "__gone"}), ["__r1", "__r2"], "left")
-    numbered = F.arrays_zip(F.sequence(F.lit(0), F.size(lines) - 1).alias("at"), lines.alias("line"))
-    stay = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains("__gone", x["at"])), lambda x: x["line"]), "\n")
-    )
-    return rows.select(*docs.columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"), stay.alias("kept"))
+    rows = rows.join(gone.withColumnsRenamed({"r1": "__r1", "r2": "__r2", "gone": "__gone"}), ["__r1", "__r2"], "left").withColumn("__lines", lines)
+    # array_except goes by a hash table, so a text's time grows with its lines, not with lines times dropped lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    stay = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(places, lambda at: F.get("__lines", at)), "\n"))
+    return rows.select(*docs.columns, F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"), stay.alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, min_docs: int = 10) -> DataFrame:

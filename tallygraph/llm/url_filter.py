@@ -11,7 +11,7 @@ rules before it. Hosts are deduplicated first, so a host with a third of all pag
 to the pages is an equi-join, whose large partitions adaptive execution splits.
 
 Defined results: a null url or one without ``://`` has an empty host and path; no rule fits an empty host unless its own
-host is empty. Without a fitting rule ``rule`` is null and the verdict is ``default``. Of fitting rules the one with the
+host is empty. Empty labels (``a..b``, ``b.``) are labels like others. Without a fitting rule ``rule`` is null and the verdict is ``default``. Of fitting rules the one with the
 longest host wins, then the longest path. Empty tables give empty results; extra columns are left out.
 """
 
@@ -55,7 +55,8 @@ def stacks(rules: DataFrame) -> DataFrame:
         .dropDuplicates(["host", "path"])
         .withColumn("key", host_key(F.col("host")))
     )
-    labels = F.filter(F.split("key", r"\."), lambda x: x != "")
+    ended = F.split("key", r"\.")  # each label and an empty end; empty labels inside a host count like others
+    labels = F.slice(ended, 1, F.size(ended) - 1)
     up = own.select("key").distinct().select(
         F.col("key").alias("inner_key"),
         F.explode(

@@ -119,3 +119,22 @@ def test_mixing_prefers_quality(spark):
 
 def test_hashes_of_kept_lines():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_rules_with_empty_labels(spark):
+    rules = url_filter.rule_table(spark, [("block", "a..b", "/"), ("block", "b.", "/"), ("allow", "x.b.", "/"), ("allow", "", "/")])
+    urls = ["http://a..b/", "http://c.a..b/", "http://a.b/", "http://b./", "http://y.b./", "http://x.b./", "http://z.x.b./", "http://b/", "http:///p", "http://.b/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.rule for r in url_filter.judge(df, rules, "none").orderBy("page_id").collect()]
+    assert got == ["a..b/", "a..b/", None, "b./", "b./", "x.b./", "x.b./", None, "/", None]
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Half of 200,000 lines go, in a time that grows with the lines."""
+    shared = [f"line {i}" for i in range(1000)]
+    long = "\n".join(x for i in range(100_000) for x in (shared[i % 1000], f"own {i}"))
+    docs = spark.createDataFrame([(0, long), *((k, "\n".join(shared)) for k in range(1, 10))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.drop_lines(docs, min_docs=10).collect()}
+    assert (rows[0].n_lines, rows[0].n_dropped) == (200_000, 100_000)
+    assert rows[0].kept == "\n".join(f"own {i}" for i in range(100_000))
+    assert all(rows[k].kept == "" and rows[k].n_dropped == 1000 for k in range(1, 10))
