@@ -256,7 +256,7 @@ def features(page: Page, worth: dict[str, float]) -> np.ndarray:
 class Boosted:
     """Boosted regression trees of one depth for the logistic loss, split at quantiles; stored as flat arrays."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.base, self.trees = 0.0, []
 
@@ -383,7 +383,7 @@ class Drawn:
             tags[-1] = "div" if tags[-1] == "td" else tags[-1]
             self.open(tags[-1], True, rng.choice([None, ARTICLE_NAMES, ["wrapper", "container", "row", "col", "page"]]))
         tag = rng.choice(["article", "article", "main", "div", "section"])
-        self.open(tag, True, ARTICLE_NAMES if tag in ("div", "section") and rng.random() < 0.9 else rng.choice([None, None, ARTICLE_NAMES]))
+        self.open(tag, True, ARTICLE_NAMES if rng.random() < 0.4 else None)
         if rng.random() < 0.8:
             self.leaf("h1", True, 2, 12)
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 30])):
@@ -432,7 +432,7 @@ class Model:
 
 
 @lru_cache(maxsize=4)
-def train(pages: int = 500, seed: int = 29) -> Model:
+def train(pages: int = 1000, seed: int = 29) -> Model:
     """The model, from ``pages`` generated pages: the first half gives the worth of tokens, both halves the trees, which see part of the names only."""
     rng = random.Random(seed)
     drawn = [Drawn(rng).draw() for _ in range(pages)]
