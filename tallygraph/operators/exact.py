@@ -1,5 +1,5 @@
 """Exact counts: closed forms over degrees, triangles and 4-cycles where there are any, else symmetry-broken joins that Catalyst orders and adaptive
-execution balances. Triangles and 4-cycles come from edges ordered by degree, so hubs make no quadratic join."""
+execution balances. Triangles (``local``) and 4-cycles come from edges ordered by degree, so hubs make no quadratic join."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygraph.operators import local
 from tallygraph.plans import pattern as patterns
 from tallygraph.plans.graph import Graph
 from tallygraph.plans.pattern import Pattern
@@ -35,38 +36,13 @@ def wedges(graph: Graph, name: str = "wedges") -> DataFrame:
     return graph.degrees.agg(F.coalesce(F.sum(F.expr("deg * (deg - 1) div 2")), F.lit(0)).cast("long").alias(name))
 
 
-def _fans(graph: Graph) -> DataFrame:
-    """(x, y1, y2): triangles with y1 < y2, x being the first by degree, and the weights w1 (x-y1), w2 (x-y2), w3 (y1-y2) if there are any.
-
-    Edges are pointed from the end of smaller degree to the other, so that no vertex has more than sqrt(2 m) out-edges and a hub makes no quadratic join."""
-    d = graph.degrees
-    weight = ["weight"] if graph.weighted else []
-    ends = graph.edges.join(d.select(F.col("u").alias("src"), F.col("deg").alias("ds")), "src").join(d.select(F.col("u").alias("dst"), F.col("deg").alias("dd")), "dst")
-    up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    out = ends.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("y"), *weight)
-    first = out.select("x", F.col("y").alias("y1"), *(F.col(w).alias("w1") for w in weight))
-    second = out.select("x", F.col("y").alias("y2"), *(F.col(w).alias("w2") for w in weight))
-    paired = first.join(second, "x").where("y1 < y2")
-    third = graph.edges.select(F.col("src").alias("y1"), F.col("dst").alias("y2"), *(F.col(w).alias("w3") for w in weight))
-    return paired.join(third, ["y1", "y2"])
-
-
 def triangles_of(graph: Graph) -> DataFrame:
     """(a, b, c) with a < b < c, and the weights of ab, ac, bc if there are any."""
-    weight, closed = graph.weighted, _fans(graph)
-    a, c = F.least("x", "y1", "y2").alias("a"), F.greatest("x", "y1", "y2").alias("c")
-    b = (F.col("x") + F.col("y1") + F.col("y2") - F.least("x", "y1", "y2") - F.greatest("x", "y1", "y2")).alias("b")
-    if not weight:
-        return closed.select(a, b, c)
-    # w1: x-y1, w2: x-y2, w3: y1-y2, told apart by where x stands
-    wab = F.when(F.col("x") < F.col("y1"), F.col("w1")).when(F.col("x") < F.col("y2"), F.col("w1")).otherwise(F.col("w3"))
-    wac = F.when(F.col("x") < F.col("y1"), F.col("w2")).when(F.col("x") < F.col("y2"), F.col("w3")).otherwise(F.col("w1"))
-    wbc = F.when(F.col("x") < F.col("y1"), F.col("w3")).when(F.col("x") < F.col("y2"), F.col("w2")).otherwise(F.col("w2"))
-    return closed.select(a, b, c, wab.alias("w_ab"), wac.alias("w_ac"), wbc.alias("w_bc"))
+    return local.triangles(graph.edges, graph.num_edges, True)
 
 
 def triangles(graph: Graph, name: str = "triangles") -> DataFrame:
-    return triangles_of(Graph(graph.edges.drop("weight"))).agg(F.count(F.lit(1)).alias(name))
+    return local.triangles(graph.unweighted.edges, graph.num_edges, False).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
 
 
 def four_chains(graph: Graph, name: str = "four_chains") -> DataFrame:
@@ -140,11 +116,8 @@ def four_cycles(graph: Graph, name: str = "four_cycles") -> DataFrame:
 
 
 def four_cliques(graph: Graph, name: str = "four_cliques") -> DataFrame:
-    """Two triangles on an edge that leaves the clique's first vertex by degree, closed by the edge between their tips."""
-    fans = _fans(Graph(graph.edges.drop("weight")))
-    other = fans.select("x", "y1", F.col("y2").alias("y3"))
-    edges = graph.edges.select(F.col("src").alias("y2"), F.col("dst").alias("y3"))
-    return fans.join(other, ["x", "y1"]).where("y2 < y3").join(edges, ["y2", "y3"]).agg(F.count(F.lit(1)).alias(name))
+    """A 4-clique's triangles at its smallest vertex are a triangle of the edges between the other three."""
+    return local.fans(triangles_of(graph.unweighted), graph.num_edges).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
 
 
 def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
@@ -160,7 +133,7 @@ def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
 def five_houses(graph: Graph, name: str = "five_houses") -> DataFrame:
     """Over all edges the triangles times the 4-cycles on them, less the pairs in which the roof is a corner of the square."""
     edge = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    tri = triangles_of(Graph(graph.edges.drop("weight"))).select(F.explode(F.array(edge("a", "b"), edge("a", "c"), edge("b", "c"))).alias("e"))
+    tri = triangles_of(graph.unweighted).select(F.explode(F.array(edge("a", "b"), edge("a", "c"), edge("b", "c"))).alias("e"))
     tri = tri.groupBy("e").agg(F.count(F.lit(1)).alias("t"))
     squares = cycle_wedges(graph).select("k", F.explode(F.array(edge("v", "u"), edge("u", "w"))).alias("e")).groupBy("e").agg(F.sum(F.col("k") - 1).alias("c"))
     found = tri.join(squares, "e", "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -194,19 +167,19 @@ def three_motifs(graph: Graph) -> DataFrame:
 
 def triangles_per_vertex(graph: Graph) -> DataFrame:
     """(v, triangles) for vertices in any."""
-    found = triangles_of(Graph(graph.edges.drop("weight")))
+    found = triangles_of(graph.unweighted)
     return found.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def weighted_triangles(graph: Graph, predicate: Column | str, every: bool, name: str) -> DataFrame:
     """Triangles of which all edges (``every``) or at least one satisfy ``predicate``, an expression of ``weight``.
 
-    For all, the edges are filtered before the join; for at least one, no join is repeated: it is all triangles less those of the other edges."""
+    For all, the edges are filtered before the triangles are looked for; for at least one, an edge's weight is whether it satisfies it."""
     if every:
         return triangles(graph.filter(predicate), name)
     predicate = F.expr(predicate) if isinstance(predicate, str) else predicate
-    none = triangles(graph.filter(~F.coalesce(predicate, F.lit(False))), "none")
-    return triangles(graph, "every").crossJoin(none).select((F.col("every") - F.col("none")).alias(name))
+    marked = graph.edges.withColumn("weight", F.coalesce(predicate, F.lit(False)).cast("long"))
+    return matching_triangles(Graph(marked, graph), "w_ab + w_ac + w_bc > 0", name)
 
 
 def matching_triangles(graph: Graph, predicate: Column | str, name: str) -> DataFrame:
