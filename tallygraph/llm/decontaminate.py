@@ -96,16 +96,18 @@ def keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, walks: Walks
 def distances(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Edit distance of each row of ``items`` (its first ``sizes`` words) to the nearest prefix of the same row of ``texts``."""
     width = texts.shape[1]
-    ramp = np.arange(width + 1)
-    row = np.tile(ramp, (len(items), 1))
+    small = np.int16 if width + items.shape[1] < 30_000 else np.int32
+    ramp = np.arange(width + 1, dtype=small)
+    row = np.zeros((len(items), width + 1), small)  # distances less the place, so that a step to the right costs nothing
     best = np.where(sizes == 0, 0, np.iinfo(np.int64).max)
     for i in range(items.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
-        np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != items[:, i : i + 1]), out=new[:, 1:])
-        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        np.minimum(row[:, 1:] + small(1), row[:, :-1] - (texts == items[:, i : i + 1]), out=new[:, 1:])
+        row = np.minimum.accumulate(new, axis=1)
         done = sizes == i + 1
-        best[done] = row[done].min(axis=1)
+        if done.any():
+            best[done] = (row[done] + ramp).min(axis=1)
     return best
 
 
@@ -333,6 +335,8 @@ class Search:
         for a in range(0, len(doc), step):
             d, s = doc[a : a + step], start[a : a + step]
             window, item = self.candidates(hashes, s, first[d + 1])
+            order = np.argsort(self.sizes[item], kind="stable")  # items of a length share a table
+            window, item = window[order], item[order]
             for b in range(0, len(window), 4096):
                 w, i = window[b : b + 4096], item[b : b + 4096]
                 reach = int((self.sizes[i] + self.most[i]).max())
