@@ -10,7 +10,7 @@ level, and below that each order has its own hash. A passage that a third of all
 
 Documents with equal sets are one class from the start, and only its smallest doc_id takes part in the join. A group of near copies isn't
 expanded into pairs: each document is tied to the heads of its tokens' runs, by a few prefix tokens first and by all of them where parts are still
-apart; ties whose prefixes meet under every order connect the documents to parts. Then the runs are gone through for pairs of different parts alone, and those
+apart, then to a few documents drawn from the run's largest part; ties whose prefixes meet under every order connect the documents to parts. Then the runs are gone through for pairs of different parts alone, and those
 that meet under every order join their parts to groups. So every pair that meets under all orders lies in one group. A group's documents are dealt to blocks by their size; every two
 blocks meet in one task, which intersects the orders' filters for all their pairs at once, by products of incidence matrices of the prefixes, and compares the
 sets of the pairs that are left; it gives no more than a spanning forest of its links. No link between different texts is lost.
@@ -48,6 +48,8 @@ BUCKET_BYTES = 24 << 20
 BROADCAST_IDS = 1_000_000
 #: Prefix tokens of a document that tie it to others.
 TIES = 4
+#: Documents of its run's largest part that a document of another part is tied to, before the run is gone through.
+PROBES = 4
 #: A block of a group: at most about so many documents, and so many shingles in all; shingles of small groups that share a task.
 BLOCK, BLOCK_SHINGLES, PACK_SHINGLES = 1024, 2_000_000, 2_000_000
 
@@ -166,8 +168,9 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (np.minimum(a["n"], b["n"]).astype(np.int64) * 100 >= percent * np.maximum(a["n"], b["n"]).astype(np.int64)) & (most >= least)
 
 
-def _candidates(kind: np.dtype, percent: int, heads_only: bool):
-    """Pairs of sets of different parts in the token runs of one bucket; with heads_only each set and the heads of its run."""
+def _candidates(kind: np.dtype, percent: int, heads_only: bool, probes: int = 0):
+    """Pairs of sets of different parts in the token runs of one bucket; with heads_only each set and the heads of its run; with ``probes`` each set and at
+    most so many drawn from those of its run's largest part that it can link with."""
 
     def found(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -229,6 +232,22 @@ def _candidates(kind: np.dtype, percent: int, heads_only: bool):
         width = np.maximum(high - low, 0)
         ends = np.cumsum(width)
         first = 0
+        if probes:
+            pairs = np.zeros((0, 2), np.int64)
+            largest_part = np.flatnonzero(rows["part"] == major[run]) if len(rows) else minor
+            among = place[largest_part]
+            low = np.searchsorted(among, (run[minor].astype(np.int64) << 32) | -(-n * percent // 100))
+            high = np.searchsorted(among, (run[minor].astype(np.int64) << 32) | (n * 100 // percent), side="right")
+            for k in range(probes):
+                some = np.flatnonzero(high - low > k)  # the first draw is any of them, the next follow it in a circle
+                a = rows[minor[some]]
+                at = (kernel.mix64(a["doc"].astype(np.uint64) ^ a["token"], 5) % (high - low)[some].astype(np.uint64)).astype(np.int64) + k * np.maximum(1, (high - low)[some] // probes)
+                b = rows[largest_part[low[some] + at % (high - low)[some]]]
+                ok = (a["doc"] != b["doc"]) & _possible(a, b, percent)
+                pairs = np.concatenate((pairs, np.column_stack((np.minimum(a["doc"], b["doc"])[ok], np.maximum(a["doc"], b["doc"])[ok]))))
+            if len(pairs):
+                yield batch_of(*once(pairs[:, 0], pairs[:, 1]))
+            return
         while first < len(minor):
             stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 21), side="right")))
             w = width[first:stop]
@@ -243,10 +262,10 @@ def _candidates(kind: np.dtype, percent: int, heads_only: bool):
     return found
 
 
-def _bucket_pairs(reps: DataFrame, buckets: int, percent: int, heads_only: bool) -> DataFrame:
+def _bucket_pairs(reps: DataFrame, buckets: int, percent: int, heads_only: bool, probes: int = 0) -> DataFrame:
     packed, kind = _postings(buckets)
     blobs = reps.select("doc_id", "n", "part", "first").mapInArrow(packed, "bucket int, rows binary")
-    return blobs.groupBy("bucket").applyInArrow(_candidates(kind, percent, heads_only), "u long, v long, hits long")
+    return blobs.groupBy("bucket").applyInArrow(_candidates(kind, percent, heads_only, probes), "u long, v long, hits long")
 
 
 def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -388,8 +407,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     member = usable.select("doc_id", "n", "s1", "s2").distinct().join(reps.select("n", "s1", "s2", F.col("doc_id").alias("rep")), ["n", "s1", "s2"])
     member = scratch.stage(member.select("doc_id", "rep"), "members")
     tops, placed = None, reps.withColumn("part", F.col("doc_id"))
-    for first in (F.substring("first", 1, 8 * TIES), F.col("first")):
-        ties = scratch.stage(_bucket_pairs(placed.withColumn("first", first), buckets, percent, True).select("u", "v").distinct(), "ties")
+    for first, probes in ((F.substring("first", 1, 8 * TIES), 0), (F.col("first"), 0), (F.col("first"), PROBES)):
+        ties = scratch.stage(_bucket_pairs(placed.withColumn("first", first), buckets, percent, not probes, probes).select("u", "v").distinct(), "ties")
         likely = scratch.stage(_survivors(ties, reps), "likely")
         scratch.release(spark)
         tops = components(likely if tops is None else likely.unionByName(tops))

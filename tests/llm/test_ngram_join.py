@@ -69,3 +69,21 @@ def test_keep_one(spark):
     rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "something else that is not alike")]
     df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [1, 3]
+
+
+def test_open_sets_are_tied_to_a_few_of_a_large_part_first():
+    """A run of 300 sets of one part and 50 open ones: 15,000 pairs when it is gone through, at most PROBES a set before."""
+    import pyarrow as pa
+    import zstandard
+
+    kind = ngram_join._postings(1)[1]
+    rows = np.zeros(350, kind)
+    rows["token"], rows["doc"], rows["n"] = 77, np.arange(350), 40
+    rows["part"] = np.where(rows["doc"] < 300, 0, rows["doc"])
+    batch = pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(rows.tobytes())], pa.binary())], ["rows"])
+    pairs = [(u, v) for b in ngram_join._candidates(kind, 90, False, ngram_join.PROBES)((pa.scalar(0),), iter([batch])) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    assert 50 <= len(pairs) <= 50 * ngram_join.PROBES
+    assert {v for _, v in pairs} == set(range(300, 350)) and {u for u, _ in pairs} <= set(range(300))
+    assert len({u for u, _ in pairs}) > 50  # not the same few for all
+    every = sum(len(b) for b in ngram_join._candidates(kind, 90, False)((pa.scalar(0),), iter([batch])))
+    assert every >= 50 * 300
