@@ -42,7 +42,11 @@ def triangles_of(graph: Graph) -> DataFrame:
 
 
 def triangles(graph: Graph, name: str = "triangles") -> DataFrame:
-    return local.triangles(graph.unweighted.edges, graph.num_edges, False).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    return _number(graph, graph.blocks.triangles(), name)
+
+
+def _number(graph: Graph, n: int, name: str) -> DataFrame:
+    return graph.edges.sparkSession.range(1).select(F.lit(n).cast("long").alias(name))
 
 
 def four_chains(graph: Graph, name: str = "four_chains") -> DataFrame:
@@ -116,8 +120,7 @@ def four_cycles(graph: Graph, name: str = "four_cycles") -> DataFrame:
 
 
 def four_cliques(graph: Graph, name: str = "four_cliques") -> DataFrame:
-    """A 4-clique's triangles at its smallest vertex are a triangle of the edges between the other three."""
-    return local.fans(triangles_of(graph.unweighted), graph.num_edges).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    return _number(graph, graph.blocks.four_cliques(), name)
 
 
 def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
@@ -162,13 +165,13 @@ def count(graph: Graph, pattern: Pattern, name: str = "instances") -> DataFrame:
 
 def three_motifs(graph: Graph) -> DataFrame:
     """(wedges, triangles, induced_wedges) in one row."""
-    return wedges(graph).crossJoin(triangles(graph)).withColumn("induced_wedges", F.col("wedges") - 3 * F.col("triangles"))
+    both = _number(graph, graph.blocks.wedges(), "wedges").withColumn("triangles", F.lit(graph.blocks.triangles()).cast("long"))
+    return both.withColumn("induced_wedges", F.col("wedges") - 3 * F.col("triangles"))
 
 
 def triangles_per_vertex(graph: Graph) -> DataFrame:
     """(v, triangles) for vertices in any."""
-    found = triangles_of(graph.unweighted)
-    return found.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("triangles"))
+    return graph.blocks.triangles_per_vertex()
 
 
 def weighted_triangles(graph: Graph, predicate: Column | str, every: bool, name: str) -> DataFrame:

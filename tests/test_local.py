@@ -59,3 +59,23 @@ def test_packed_edges_come_back():
 
     columns = [np.array([-5, 0, 0, 1 << 40]), np.array([1 << 62, 3, 4, -1]), np.array([9, local.NONE, 0, 1])]
     assert all((a == b).all() for a, b in zip(local.unpack(local.pack(columns), 4, 3), columns, strict=True))
+
+
+def test_blocks_hold_repeated_edges_once(spark, monkeypatch):
+    monkeypatch.setattr(local, "colours", lambda num_edges: 4)
+    rows = [*EDGES, *((b, a) for a, b in EDGES[::3]), (7, 7), (None, 3)]
+    graph = Graph.unordered(spark.createDataFrame(rows, "src long, dst long"))
+    degree = [sum(v in e for e in EDGES) for v in range(40)]
+    assert sum(n for (n,) in graph.blocks.rows.select("n").collect()) == len(EDGES)
+    assert tuple(exact.three_motifs(graph).first())[:2] == (sum(d * (d - 1) // 2 for d in degree), len(triangles()))
+    assert dict(map(tuple, exact.triangles_per_vertex(graph).collect())) == {v: n for v in range(40) if (n := sum(v in t for t in triangles()))}
+    assert exact.triangles(graph.permuted(5)).first()[0] == len(triangles())
+
+
+def test_no_more_than_some_copies_of_the_edges_are_sent_at_once(spark, monkeypatch):
+    monkeypatch.setattr(local, "colours", lambda num_edges: 7)
+    sent, written = [], local.lineage.written
+    monkeypatch.setattr(local.lineage, "written", lambda df, tag: sent.append(tag) or written(df, tag))
+    graph = Graph.unordered(spark.createDataFrame(EDGES, "src long, dst long"))
+    assert exact.triangles(graph).first()[0] == len(triangles())
+    assert sent == ["blocks", *["round"] * 3]
