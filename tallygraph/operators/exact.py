@@ -115,8 +115,7 @@ def _total(column: Column | str) -> Column:
 
 
 def four_cycles(graph: Graph, name: str = "four_cycles") -> DataFrame:
-    """Every path of ``cycle_wedges`` pairs with the other k - 1 of its ends."""
-    return cycle_wedges(graph).agg((_total("k - 1") / 2).cast("long").alias(name))
+    return _number(graph, graph.blocks.four_cycles(), name)
 
 
 def four_cliques(graph: Graph, name: str = "four_cliques") -> DataFrame:

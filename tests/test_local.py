@@ -79,3 +79,40 @@ def test_no_more_than_some_copies_of_the_edges_are_sent_at_once(spark, monkeypat
     graph = Graph.unordered(spark.createDataFrame(EDGES, "src long, dst long"))
     assert exact.triangles(graph).first()[0] == len(triangles())
     assert sent == ["blocks", *["round"] * 3]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_four_cycles_chains_and_houses_by_parts(graph, monkeypatch, parts):
+    monkeypatch.setattr(local, "ONE_TASK", 0 if parts > 1 else 20_000)
+    monkeypatch.setattr(local, "PART_EDGES", 2 * len(EDGES) / (parts - 0.5))
+    near = {v: {w for e in EDGES if v in e for w in e if w != v} for v in range(40)}
+    pairs = list(itertools.combinations(range(40), 2))
+    cycles = sum(k * (k - 1) // 2 for a, b in pairs if (k := len(near[a] & near[b]))) // 2
+    chains = sum(1 for c in range(40) for b, d in itertools.combinations(sorted(near[c]), 2) for a in near[b] - {c, d} for e in near[d] - {b, c, a})
+    houses = sum(len((near[a] & near[b]) - {c, d}) for a, b in EDGES for c in near[a] - {b} for d in near[b] & near[c] - {a})
+    assert [exact.count(graph, p).first()[0] for p in (pattern.cycle(4), pattern.FIVE_CHAIN, pattern.HOUSE)] == [cycles, chains, houses]
+    empty = Graph(graph.edges.where("false"))
+    assert [exact.count(empty, p).first()[0] for p in (pattern.cycle(4), pattern.FIVE_CHAIN, pattern.HOUSE)] == [0, 0, 0]
+
+
+def test_no_path_of_a_four_cycle_is_shuffled(graph, monkeypatch):
+    sent, written = [], local.lineage.written
+    monkeypatch.setattr(local.lineage, "written", lambda df, tag: sent.append(tag) or written(df, tag))
+    exact.four_cycles(graph)
+    assert sent == ["blocks", "degrees", "parts"]
+
+
+def test_paths_some_at_a_time(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(local, "WEDGES", 7)
+    u, w = (np.array(z) for z in zip(*sorted([*EDGES, *((b, a) for a, b in EDGES)]), strict=True))
+    part = lambda i, *more: [c[w % 3 == i] for c in (u, w // 3, *more)]
+    have = {v: {b for a, b in zip(u.tolist(), w.tolist(), strict=True) if a == v} for v in range(40)}
+    last = {(v, x): {m for m in have[v] & have[x] if m < v} for v in range(40) for x in range(v)}
+    found = sum(local._pairs_of_paths(local._down(part(i), 3, i), part(j), 3, j, 14) for i in range(3) for j in range(3))
+    assert found == sum(len(m) * (len(m) - 1) // 2 for m in last.values())
+    number = (u + w) * 5 + (u * w) % 4
+    found = sum(local._pairs_of_paths(local._down(part(i, number), 3, i), part(j, number), 3, j, 14) for i in range(3) for j in range(3))
+    weigh = lambda a, b: (a + b) * 5 + (a * b) % 4
+    assert found == sum((len(m) - 1) * sum(weigh(v, x) + weigh(x, y) for x in m) for (v, y), m in last.items())
