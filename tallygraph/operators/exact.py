@@ -1,5 +1,5 @@
 """Exact counts: closed forms over degrees, triangles and 4-cycles where there are any, else symmetry-broken joins that Catalyst orders and adaptive
-execution balances. Triangles (``local``) and 4-cycles come from edges ordered by degree, so hubs make no quadratic join."""
+execution balances. Triangles and 4-cycles (``local``) come from edges ordered by degree, so hubs make no quadratic join."""
 
 from __future__ import annotations
 
@@ -92,24 +92,6 @@ def matches(graph: Graph, pattern: Pattern) -> DataFrame:
     return rows.select(*(f"v{i}" for i in range(k)))
 
 
-def _ends(graph: Graph) -> DataFrame:
-    """(src, dst, ds, dd): edges with the degrees of their ends."""
-    d = graph.degrees
-    return graph.edges.select("src", "dst").join(d.select(F.col("u").alias("src"), F.col("deg").alias("ds")), "src").join(d.select(F.col("u").alias("dst"), F.col("deg").alias("dd")), "dst")
-
-
-def cycle_wedges(graph: Graph) -> DataFrame:
-    """(v, u, w, k): paths v - u - w of which v comes last by (degree, id), and the number k of such paths from v to w.
-
-    Two of them with the same ends are a 4-cycle, and each 4-cycle is found once so: at its last vertex."""
-    ends = _ends(graph)
-    both = ends.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.struct("dd", "dst").alias("rank")).unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("w"), F.struct(F.col("ds").alias("dd"), F.col("src").alias("dst")).alias("rank")))
-    low, high = F.struct(F.col("ds").alias("d"), F.col("src").alias("id")), F.struct(F.col("dd").alias("d"), F.col("dst").alias("id"))
-    down = ends.select(F.when(low < high, F.col("src")).otherwise(F.col("dst")).alias("u"), F.greatest(low, high).alias("last"))
-    paths = down.join(both, "u").where(F.struct(F.col("rank.dd").alias("d"), F.col("rank.dst").alias("id")) < F.col("last")).select(F.col("last.id").alias("v"), "u", "w")
-    return paths.join(paths.groupBy("v", "w").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), ["v", "w"])
-
-
 def _total(column: Column | str) -> Column:
     return F.coalesce(F.sum((F.expr(column) if isinstance(column, str) else column).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
 
@@ -133,13 +115,7 @@ def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
 
 
 def five_houses(graph: Graph, name: str = "five_houses") -> DataFrame:
-    """Over all edges the triangles times the 4-cycles on them, less the pairs in which the roof is a corner of the square."""
-    edge = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    tri = triangles_of(graph.unweighted).select(F.explode(F.array(edge("a", "b"), edge("a", "c"), edge("b", "c"))).alias("e"))
-    tri = tri.groupBy("e").agg(F.count(F.lit(1)).alias("t"))
-    squares = cycle_wedges(graph).select("k", F.explode(F.array(edge("v", "u"), edge("u", "w"))).alias("e")).groupBy("e").agg(F.sum(F.col("k") - 1).alias("c"))
-    found = tri.join(squares, "e", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    return found.agg((_total("t * c - 2 * t * t + 2 * t")).cast("long").alias(name))  # each triangle is on three edges: 6 a triangle
+    return _number(graph, graph.blocks.five_houses(), name)
 
 
 def same(pattern: Pattern, other: Pattern) -> bool:
