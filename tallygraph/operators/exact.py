@@ -106,10 +106,10 @@ def four_cliques(graph: Graph, name: str = "four_cliques") -> DataFrame:
 
 def five_chains(graph: Graph, name: str = "five_chains") -> DataFrame:
     """Pairs of extensions of each middle vertex's two neighbours, less those that meet: in the other neighbour (triangles) or in one vertex (4-cycles)."""
-    near = graph.directed.select("u", "v").join(graph.degrees.select(F.col("u").alias("v"), (F.col("deg") - 1).cast("decimal(19,0)").alias("more")), "v")
-    sums = near.groupBy("u").agg(F.sum("more").cast("decimal(19,0)").alias("s"), F.sum(F.col("more") * F.col("more")).cast("decimal(38,0)").alias("q"))
-    pairs = sums.agg((_total((F.col("s") * F.col("s")).cast("decimal(38,0)") - F.col("q")) / 2).cast("decimal(38,0)").alias("pairs"))
-    inner = triangles_per_vertex(graph).join(graph.degrees.withColumnRenamed("u", "v"), "v").agg(_total("triangles * (2 * deg - 3)").alias("inner"))
+    blocks = graph.blocks
+    s, q = F.col("s").cast("decimal(19,0)"), F.col("q").cast("decimal(38,0)")
+    pairs = blocks.near_sums().agg((_total((s * s).cast("decimal(38,0)") - q) / 2).cast("decimal(38,0)").alias("pairs"))
+    inner = triangles_per_vertex(graph).join(blocks.degrees(), "v").agg(_total("triangles * (2 * deg - 3)").alias("inner"))
     # one row each
     return pairs.crossJoin(inner).crossJoin(four_cycles(graph, "cycles")).select((F.col("pairs") - F.col("inner") - 4 * F.col("cycles")).cast("long").alias(name))
 
