@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygraph.functions import lineage
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,19 +37,16 @@ def place(spark: SparkSession, tag: str) -> str:
 
 
 def stage(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and read it again; the same schema holds for an empty table."""
+    """Write ``df`` as Parquet and read it again; the same schema holds for an empty table. The shuffle files that this took are dropped."""
     spark, path = df.sparkSession, place(df.sparkSession, tag)
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
+    with lineage.dropping(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Delete a staged table that nothing reads any more.
+remove = lineage.remove
 
 
 def release(spark: SparkSession) -> None:

@@ -2,9 +2,11 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallygraph.functions import lineage
+from tallygraph.llm import scratch
 from tallygraph.plans.graph import Graph
 from tests.graphs import random_edges
 
@@ -14,11 +16,12 @@ def shuffle_files(spark) -> int:
     return sum("shuffle_" in files.apply(i).getName() and files.apply(i).getName().endswith(".data") for i in range(files.size()))
 
 
-def test_a_written_table_leaves_no_shuffle_files(spark):
+@pytest.mark.parametrize("write", [lineage.written, scratch.stage])
+def test_a_written_table_leaves_no_shuffle_files(spark, write):
     before, setting = shuffle_files(spark), spark.conf.get(lineage.DROP)
     kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()  # held, so that no garbage collection frees its files
-    assert lineage.written(kept, "seven").count() == 7
-    assert lineage.written(kept, "again").count() == 7
+    assert write(kept, "seven").count() == 7
+    assert write(kept, "again").count() == 7
     until = time.time() + 10
     while shuffle_files(spark) > before + 2 and time.time() < until:  # the two counts' own files may stay
         time.sleep(0.1)
